@@ -76,4 +76,22 @@ def p5_one_form(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, CORPUS).select("row_id", to_one_form("transliteration").alias("one_form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_one_form)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.encode import encode_table
+
+    return encode_table(table(spark, folder, "documents"), "doc_id", "text").toDF("doc_id", "ids")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.spans import SharedSpans
+
+    return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").pair_ids().toDF("doc_id_a", "doc_id_b")
+
+
+def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.spans import SharedSpans
+
+    return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").coverage().withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_one_form, p7_ids, p9_found, p9_coverage)}
