@@ -82,6 +82,22 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_table(table(spark, folder, "documents"), "doc_id", "text").toDF("doc_id", "ids")
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.leaks import leaked_items
+
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "heldout_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.leaks import leak_report
+
+    return leak_report(_leaks(spark, folder), table(spark, folder, "heldout_items"), "item_id", "split")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from kalamos.llm.spans import SharedSpans
 
@@ -94,4 +110,4 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_one_form, p7_ids, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_one_form, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
