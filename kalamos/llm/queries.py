@@ -52,6 +52,26 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _term_counts(spark, folder).marked()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.groups import tablet_groups
+    from kalamos.llm.work import written
+
+    ids = table(spark, folder, CORPUS).select(F.col("oare_id").alias("id")).unionAll(table(spark, folder, "sentence_pairs").select(F.col("doc_id").alias("id")))
+    groups = written(tablet_groups(ids, "id", table(spark, folder, "tablet_joins"), "left_id", "right_id"), "groups")
+    many = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("group")
+    return groups.join(many, "group").select("id_written", F.col("group").alias("group_id"))
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.groups import assign_splits
+
+    tables = {
+        CORPUS: (table(spark, folder, CORPUS), "row_id", "oare_id"),
+        "sentence_pairs": (table(spark, folder, "sentence_pairs"), "pair_id", "doc_id"),
+    }
+    return assign_splits(tables, table(spark, folder, "tablet_joins"), "left_id", "right_id", table(spark, folder, "split_targets"), "split", "share")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from kalamos.llm.neardup import near_duplicate_pairs
 
@@ -110,4 +130,4 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_one_form, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_splits, p4_found, p4_groups, p5_found, p5_one_form, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
