@@ -96,6 +96,20 @@ def p5_one_form(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, CORPUS).select("row_id", to_one_form("transliteration").alias("one_form"))
 
 
+def _aligned(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.sentences import align_documents
+
+    return align_documents(table(spark, folder, "sentence_pairs"), "doc_id", "sentence_idx", "transliteration", "translation")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _aligned(spark, folder).select(F.col("doc").alias("doc_id"), F.col("src").alias("src_idx"), F.col("tgt").alias("tgt_idx"))
+
+
+def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _aligned(spark, folder).select(F.col("doc").alias("doc_id"), F.col("src").alias("src_idx"), F.col("tgt").alias("tgt_idx"), F.round("score", 4).alias("score"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from kalamos.llm.encode import encode_table
 
@@ -130,4 +144,4 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_splits, p4_found, p4_groups, p5_found, p5_one_form, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_splits, p4_found, p4_groups, p5_found, p5_one_form, p6_found, p6_scores, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
