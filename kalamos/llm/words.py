@@ -91,16 +91,18 @@ def sequence_signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketches(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Size << 32 | 32-bit parity sketch.  Two bags that differ in d tokens differ in at most d bits, so
-    more differing bits than a similarity allows prove a pair to be below it: the filter loses nothing."""
-    bit = _U(1) << (tokens >> _U(59))
-    size = np.diff(offsets).astype(_U)
-    return ((size << _U(32)) | per_row(np.bitwise_xor, bit, offsets, 0)).view(np.int64)
+    """Size << 48 | 48-bit parity sketch.  Two bags that differ in d tokens differ in at most d bits, so more
+    differing bits than a similarity allows prove a pair to be below it: the filter loses nothing.  Sizes are
+    counted up to 32767; nothing is rejected for bags of that size."""
+    bit = _U(1) << ((tokens >> _U(16)) % _U(48))
+    size = np.minimum(np.diff(offsets), 32767).astype(_U)
+    return ((size << _U(48)) | per_row(np.bitwise_xor, bit, offsets, 0)).view(np.int64)
 
 
 def sketch_condition(one: str, other: str, share: float) -> str:
     """SQL: the two sketches do not prove the common share to be below ``share``."""
-    return f"bit_count(({one} ^ {other}) & 4294967295L) <= {1 - share} * (shiftright({one}, 32) + shiftright({other}, 32)) + 1e-9"
+    most = f"{1 - share} * (shiftright({one}, 48) + shiftright({other}, 48)) + 1e-9"
+    return f"(bit_count(({one} ^ {other}) & 281474976710655L) <= {most} or shiftright({one}, 48) = 32767 or shiftright({other}, 48) = 32767)"
 
 
 def minima(tokens: np.ndarray, offsets: np.ndarray, seeds: Sequence[int]) -> np.ndarray:
