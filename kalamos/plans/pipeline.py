@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kalamos.functions import text as T
 from kalamos.operators import lexicon, metrics, rows, spans, splits
@@ -105,7 +106,7 @@ Predict = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 def predict_with(df: DataFrame, model: Predict, column: str = "prediction", clean: bool = True) -> DataFrame:
     """Any predictor as a function over pandas batches that adds ``column``; outputs are cleaned on request."""
-    schema = df.schema.add(column, "string")
+    schema = StructType([*df.schema.fields, StructField(column, StringType())])
     out = df.mapInPandas(model, schema)
     return out.withColumn(column, T.postprocess_translation(F.col(column))) if clean else out
 
