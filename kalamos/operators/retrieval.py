@@ -1,13 +1,13 @@
 """Nearest neighbours under TF-IDF over character n-grams.
 
 Weights are raw counts times ln((1+N)/(1+df))+1, rows have length one, the
-score is the dot product.  The nearest neighbour is found exactly without
-joining on frequent n-grams: a few heavy n-grams of each query give a first
-neighbour, whose score ``low`` is a bound; in the order of rarity, the
-n-grams of the query behind the point where what remains has norm below
-``low`` cannot reach the bound alone, so only rows that share an earlier one
-are candidates, and those whose partial score plus the rest stays below the
-bound are dropped before the exact score is taken.
+score is the dot product.  The queries are a stated set: they go to the bank in
+blocks, and each task scores its own rows against a block as a sparse matrix
+product (frequent n-grams through a dense one, rare ones through posting
+lists), so the bank is never shuffled, no n-gram is hot, and a task returns one
+row per query.  Document frequencies are counted with map-side combine; their
+table goes to the tasks if its measured size allows, otherwise scores come from
+an equi-join.
 
 Ties go to the smallest id after rounding to 12 digits.  A query without a
 common n-gram takes the smallest id of the bank, score 0.
@@ -20,12 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kalamos.functions import text as T
 
 _U = np.uint64
+QUERIES, ROWS, HOT = 4096, 256, 2048  # queries of a block, bank rows scored at once, n-grams kept dense
+MOST_GRAMS = 2_000_000  # entries of two numbers
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,43 +97,111 @@ def weighted(profile: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "gram", (F.col("raw") / F.col("norm")).alias("w"), "idf")
 
 
-def nearest(queries: DataFrame, bank: DataFrame, query_id: str, query_text: str, bank_id: str, bank_text: str, least: int = 3, most: int = 5, analyzer: str = "char", exclude_self: bool = False, first: int = 12) -> DataFrame:
+class _Block:
+    """A block of queries as the columns of a sparse matrix: frequent n-grams dense, rare ones as posting lists."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> None:
+        self.ids = ids
+        order = np.argsort(grams, kind="stable")
+        grams, rows, weights = grams[order], rows[order], weights[order]
+        self.grams, first = np.unique(grams, return_index=True)
+        self.first = np.append(first, len(grams))
+        size = np.diff(self.first)
+        hot = np.argsort(-size, kind="stable")[:HOT]
+        self.slot = np.full(len(self.grams), -1)
+        self.slot[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), len(ids)))
+        slots = np.repeat(self.slot, size)
+        self.dense[slots[slots >= 0], rows[slots >= 0]] = weights[slots >= 0]
+        self.rows, self.weights = rows, weights
+
+    def scores(self, row: np.ndarray, grams: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """Dot products of ``n`` bank rows with all queries of the block."""
+        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
+        known = self.grams[at] == grams if len(self.grams) else np.zeros(len(grams), bool)
+        row, at, weights = row[known], at[known], weights[known]
+        slot = self.slot[at]
+        hot = slot >= 0
+        left = np.zeros((n, len(self.dense)))
+        left[row[hot], slot[hot]] = weights[hot]
+        out = left @ self.dense
+        row, at, weights = row[~hot], at[~hot], weights[~hot]
+        size = self.first[at + 1] - self.first[at]
+        if size.sum():
+            place = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            cell = np.repeat(row, size) * len(self.ids) + self.rows[place]
+            out += np.bincount(cell, np.repeat(weights, size) * self.weights[place], n * len(self.ids)).reshape(n, -1)
+        return out
+
+
+def _best_of_block(block, idf, least: int, most: int, by_word: bool, exclude_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, (known, value) = block.value, idf.value
+        best, owner = np.zeros(len(asked.ids)), np.full(len(asked.ids), -1)
+        column = {int(q): k for k, q in enumerate(asked.ids)}
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(ids, kind="stable")  # the first of equal scores is then the smallest id
+            texts = batch.column(1).to_pylist()
+            for start in range(0, len(order), ROWS):
+                part = order[start : start + ROWS]
+                found = [_profile(texts[k] or "", least, most, by_word) for k in part]
+                row = np.repeat(np.arange(len(part)), [len(g) for g, _ in found])
+                grams = np.concatenate([g for g, _ in found])
+                weights = np.concatenate([c for _, c in found]) * value[np.searchsorted(known, grams)]
+                norm = np.sqrt(np.bincount(row, weights * weights, len(part)))
+                scores = np.round(asked.scores(row, grams, weights / norm[row], len(part)), 12)
+                if exclude_self:
+                    for k, one in enumerate(ids[part].tolist()):
+                        if one in column:
+                            scores[k, column[one]] = -1
+                first = scores.argmax(axis=0)
+                top, new = scores[first, np.arange(len(asked.ids))], ids[part][first]
+                better = (top > best) | ((top == best) & (top > 0) & (new < owner))
+                best[better], owner[better] = top[better], new[better]
+        some = best > 0
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[some]), pa.array(owner[some]), pa.array(best[some])], names=["query_id", "bank_id", "score"])
+
+    return run
+
+
+def _joined(asked: DataFrame, profile: DataFrame, idf: DataFrame, exclude_self: bool) -> DataFrame:
+    """Best scores by an equi-join on n-grams: the way for vocabularies beyond what a task can hold."""
+    rows = weighted(profile, idf)
+    pairs = asked.alias("q").join(rows.alias("b"), F.expr("q.gram = b.gram" + (" and q.id <> b.id" if exclude_self else "")))
+    return pairs.groupBy(F.col("q.id").alias("query_id"), F.col("b.id").alias("bank_id")).agg(F.round(F.sum(F.expr("q.w * b.w")), 12).alias("score"))
+
+
+def nearest(queries: DataFrame, bank: DataFrame, query_id: str, query_text: str, bank_id: str, bank_text: str, least: int = 3, most: int = 5, analyzer: str = "char", exclude_self: bool = False) -> DataFrame:
     """``query_id, bank_id, score``: the nearest bank row of every query.  With ``exclude_self`` a query never takes
     the bank row of its own id, unless the bank has no other."""
-    keep = StorageLevel.MEMORY_AND_DISK
-    profile = grams(bank, bank_id, bank_text, least, most, analyzer).persist(keep)
+    spark = bank.sparkSession
     head = bank.select(F.col(bank_id).cast("long").alias("id"))
     size = head.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one")).first()
-    second = head.where(F.col("id") != F.lit(size["one"])).agg(F.min("id")).first()[0]
     if not size["n"]:
         raise ValueError("the bank is empty")
-    idf = inverse_frequency(profile, size["n"]).persist(keep)
-    rows = weighted(profile, idf).select("id", "gram", "w").persist(keep)
-    asked = weighted(grams(queries, query_id, query_text, least, most, analyzer), idf)
-    rarest = Window.partitionBy("id").orderBy(F.desc("idf"), "gram")
-    heaviest = Window.partitionBy("id").orderBy(F.desc("w"), "gram")
-    rest = F.sum(F.col("w") * F.col("w")).over(rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    asked = asked.withColumn("rest", F.sqrt(rest)).withColumn("place", F.row_number().over(heaviest)).persist(keep)
-
-    def met(side: DataFrame) -> DataFrame:
-        """Partial scores of queries and the bank rows they share an n-gram of ``side`` with."""
-        pairs = side.alias("q").join(rows.alias("b"), F.expr("q.gram = b.gram" + (" and q.id <> b.id" if exclude_self else "")))
-        return pairs.groupBy(F.col("q.id").alias("q"), F.col("b.id").alias("b")).agg(F.sum(F.expr("q.w * b.w")).alias("part"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        one = asked.select(F.col("id").alias("q"), "gram", F.col("w").alias("qw"))
-        two = rows.select(F.col("id").alias("b"), "gram", F.col("w").alias("bw"))
-        return pairs.join(one, "q").join(two, ["b", "gram"]).groupBy("q", "b").agg(F.sum(F.col("qw") * F.col("bw")).alias("score"))
-
-    best = Window.partitionBy("q").orderBy(F.desc("part"), "b")
-    start = met(asked.where(F.col("place") <= first)).withColumn("n", F.row_number().over(best)).where("n <= 3").select("q", "b")
-    low = scored(start).groupBy("q").agg((F.max("score") - 1e-9).alias("low")).persist(keep)
-    sought = asked.join(low.withColumnRenamed("q", "id"), "id")
-    left = sought.where("rest < low").groupBy(F.col("id").alias("q")).agg(F.max("rest").alias("left"))
-    near = met(sought.where("rest >= low")).join(low, "q").join(left, "q", "left").where("part + coalesce(left, 0) >= low").select("q", "b")
-    final = scored(near.unionAll(start).distinct())
-    order = Window.partitionBy("q").orderBy(F.desc(F.round("score", 12)), "b")
-    top = final.withColumn("n", F.row_number().over(order)).where("n = 1").select(F.col("q").alias("query_id"), F.col("b").alias("bank_id"), "score")
+    second = head.where(F.col("id") != F.lit(size["one"])).agg(F.min("id")).first()[0]
+    profile = grams(bank, bank_id, bank_text, least, most, analyzer)
+    idf = inverse_frequency(profile, size["n"]).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = weighted(grams(queries, query_id, query_text, least, most, analyzer), idf).select("id", "gram", "w").persist(StorageLevel.MEMORY_AND_DISK)
+    if idf.count() <= MOST_GRAMS:
+        table = idf.toPandas().sort_values("gram")
+        shared = spark.sparkContext.broadcast((table["gram"].to_numpy(), table["idf"].to_numpy()))
+        texts = bank.select(F.col(bank_id).cast("long").alias("id"), F.regexp_replace(F.col(bank_text), f"{T.WS}{{2,}}", " ").alias("text"))
+        blocks = -(-asked.select("id").distinct().count() // QUERIES)
+        found = None
+        for k in range(blocks):  # the stated query set, a block at a time, against all rows
+            part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()
+            ids, rows = np.unique(part["id"].to_numpy(), return_inverse=True)
+            block = spark.sparkContext.broadcast(_Block(ids, rows, part["gram"].to_numpy(), part["w"].to_numpy()))
+            one = texts.mapInArrow(_best_of_block(block, shared, least, most, analyzer == "char_wb", exclude_self), "query_id long, bank_id long, score double")
+            found = one if found is None else found.unionAll(one)
+        if found is None:
+            found = spark.createDataFrame([], "query_id long, bank_id long, score double")
+    else:
+        found = _joined(asked, profile, idf, exclude_self)
+    best = F.max_by(F.struct("bank_id", "score"), F.struct("score", (-F.col("bank_id")).alias("first"))).alias("b")
+    top = found.groupBy("query_id").agg(best).select("query_id", "b.bank_id", "b.score")
     default = F.lit(size["one"]).cast("long")
     if exclude_self and second is not None:
         default = F.when(F.col("query_id") == size["one"], F.lit(second).cast("long")).otherwise(default)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kalamos.operators import batching, history, lexicon, metrics, rows, runs, spans, splits, variants
+from kalamos.operators import batching, history, lexicon, metrics, retrieval, rows, runs, spans, splits, variants
 from kalamos.operators.retrieval import nearest
 
 
@@ -74,7 +74,7 @@ def test_glosses(spark):
     assert got == {1: "a-wi-lum <gap> KÙ 10 a-wi-lum || a-wi-lum: man; a-wi-lum: man", 2: "none", 3: None}
 
 
-def test_retrieval_against_brute_force(spark):
+def test_retrieval_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     syllables = ["ma", "na", "ki", "ba", "lum", "šu", "tim", "um", "a"]
     text = lambda: " ".join("-".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 6)))
@@ -106,8 +106,12 @@ def test_retrieval_against_brute_force(spark):
         scores = [(round(sum(x * v.get(k, 0) for k, x in q.items()), 12), -b) for b, v in vectors.items()]
         best = max(scores)
         expected[i] = (-best[1], best[0])
-    got = nearest(spark.createDataFrame(asked, "id long, t string"), spark.createDataFrame(bank, "id long, t string"), "id", "t", "id", "t").collect()
-    assert {r.query_id: r.bank_id for r in got} == {i: b for i, (b, _) in expected.items()}
+    for most in (retrieval.MOST_GRAMS, 0):  # both ways
+        monkeypatch.setattr(retrieval, "MOST_GRAMS", most)
+        monkeypatch.setattr(retrieval, "HOT", 40)
+        monkeypatch.setattr(retrieval, "QUERIES", 7)
+        got = nearest(spark.createDataFrame(asked, "id long, t string"), spark.createDataFrame(bank, "id long, t string"), "id", "t", "id", "t").collect()
+        assert {r.query_id: r.bank_id for r in got} == {i: b for i, (b, _) in expected.items()}
     assert all(abs(r.score - expected[r.query_id][1]) < 1e-9 for r in got)
 
 
