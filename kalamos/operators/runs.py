@@ -72,3 +72,16 @@ def aligned_predictions(frames: dict[str, DataFrame], keys: list[str], column: s
 def top_rows(df: DataFrame, condition: Column | None, order: list[Column], most: int = 8) -> DataFrame:
     """A category of examples: filtered, in an explicit order, the first few (a top-k plan, no full sort)."""
     return (df.where(condition) if condition is not None else df).orderBy(*order).limit(most)
+
+
+def example_table(df: DataFrame, categories: dict[str, tuple[Column | None, list[Column]]], most: int = 8) -> DataFrame:
+    """The first rows of every category, told apart by ``category``; a row may stand in several."""
+    sides = [top_rows(df, condition, order, most).withColumn("category", F.lit(name)) for name, (condition, order) in categories.items()]
+    return reduce(DataFrame.unionAll, sides)
+
+
+def seed_curves(runs: DataFrame, value: str, point: str, *by: str) -> DataFrame:
+    """Mean and spread along a scale (share of documents, learning rate, ...), with the single runs' least and most."""
+    return runs.groupBy(*by, point).agg(
+        F.count(value).alias("runs"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")
+    )

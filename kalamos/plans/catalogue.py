@@ -432,6 +432,21 @@ def paired_bootstrap(spark, folder):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+@query()
+def qualitative_examples(spark, folder):
+    scores = metrics.sentence_scores(metrics.statistics(_predictions(spark, folder), "prediction", "translation", "id"))
+    c = F.col("chrf")
+    return runs.example_table(scores, {"good": (c > 40, [F.desc("chrf"), F.asc("id")]), "middling": ((c > 15) & (c < 40), [F.desc("chrf"), F.asc("id")]), "poor": (c <= 15, [F.asc("chrf"), F.asc("id")])})
+
+
+@query(f"""with a as (select row_id, {S.strip("lower(coalesce(genre, ''))")} as g, length(transliteration) as n from {CORPUS})
+    select g, cast(n // 50 as bigint) as size, count(n) as runs, round(avg(n), 6) as mean, round(coalesce(stddev_samp(n), 0), 6) as sd, min(n) as least, max(n) as most from a group by 1, 2""")
+def seed_curves(spark, folder):
+    df = table(spark, folder, CORPUS).select(T.strip(F.lower(F.coalesce("genre", F.lit("")))).alias("g"), F.length("transliteration").alias("n")).withColumn("size", F.floor(F.col("n") / 50))
+    out = runs.seed_curves(df, "n", "size", "g")
+    return out.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+
+
 # --- runs and histories ------------------------------------------------------
 
 _RUNS = "runs as (select event_type as condition, cast(user_id % 3 as bigint) as seed, case when user_id % 2 = 0 then 'small' else 'base' end as size, avg(value) as score from events group by 1, 2, 3)"

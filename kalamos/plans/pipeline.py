@@ -101,6 +101,17 @@ def test_file(cli: str | None, configured: str | None, default: str) -> str:
     return cli or configured or default
 
 
+def evaluation_settings(config_path: str | None, stored: dict | None = None) -> Any:
+    """How test rows are prepared: by the configuration if one is named, else as a trained model's metadata says, else
+    by the defaults; unknown names in metadata are left out."""
+    from kalamos.sources import config
+
+    if config_path:
+        return config.load(config_path).data
+    known = (stored or {}).get("data", {})
+    return config.DataConfig(**{k: v for k, v in known.items() if k in config.DATA})
+
+
 Predict = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 

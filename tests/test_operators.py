@@ -217,3 +217,26 @@ def test_manifest(spark, tmp_path):
     variants.write_variants(out, str(tmp_path))
     said = json.loads((tmp_path / "manifest.json").read_text())
     assert said["plain"]["train_rows"] == 2 and said["plain"]["train_source_bytes_max"] == 5
+
+
+def test_python_shuffle_split(spark):
+    df = spark.createDataFrame([(f"d{k:02}", k) for k in range(20)], "oare_id string, n int")
+    train, held = splits.shuffled_split(df, 0.1)
+    ids = sorted(f"d{k:02}" for k in range(20))
+    random.Random(42).shuffle(ids)
+    assert {r.oare_id for r in held.collect()} == set(ids[:2]) and train.count() == 18
+
+
+def test_paper_numbers(spark):
+    data = [(c, z, s, "independent", v) for c, z, s, v in [("base", "small", 1, 10.0), ("base", "small", 2, 12.0), ("tag", "small", 1, 11.0), ("tag", "small", 2, 12.0), ("tag", "large", 1, 5.0)]]
+    df = spark.createDataFrame(data, "condition string, size string, seed int, split string, v double")
+    out = runs.paper_numbers(df, "condition", "base", "size", "seed", "split", "v")
+    assert out["baselines"].first()["mean"] == 11.0 and out["deltas"].first()["mean"] == 0.5 and out["per_seed"].count() == 2
+    assert runs.gap_to(out["baselines"], "mean", 1.0).first().gap == 10.0
+
+
+def test_named_functions(spark):
+    from kalamos.functions.registry import chained
+
+    df = spark.createDataFrame([("  ḫa₄ <gap> x",)], "t string")
+    assert df.select(chained(F.col("t"), "plain_h", "plain_digits", "without_gap_tags", "lone_x")).first()[0] == "ha4 <gap>"

@@ -163,6 +163,14 @@ def test_config(tmp_path):
         config.find_config("no_such.yaml")
 
 
+def test_evaluation_settings(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("data: {remove_gaps: true}\n")
+    assert pipeline.evaluation_settings(str(path)).remove_gaps
+    assert pipeline.evaluation_settings(None, {"data": {"tag_sumerograms": True, "old": 1}}).tag_sumerograms
+    assert not pipeline.evaluation_settings(None).tag_sumerograms
+
+
 def test_loss_curves(spark, tmp_path):
     (tmp_path / "m.csv").write_text("run_id,priority,comparison_group,order,history_path\nr1,core,g,2,h1.csv\nr2,core,g,1,h2.csv\nr3,core,g,3,h3.csv\nr4,other,g,4,h1.csv\n")
     (tmp_path / "h1.csv").write_text("step,epoch,metric,value\n1,0,train/loss,4.0\n2,0,train/loss,3.2\n2,0,val/loss,9\n3,0,train/loss,\n")
