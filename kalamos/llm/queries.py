@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kalamos.session import spread
+
 CORPUS = "golden_corpus_v2_prefilt"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in (CORPUS, "documents", "sentence_pairs") else df
 
 
 def _tests(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str]]:
