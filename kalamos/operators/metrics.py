@@ -152,7 +152,9 @@ def pick_candidates(df: DataFrame, key: str, candidates: str, most: int = 32) ->
     """Per key the candidate with the highest mean sentence chrF++ against the others (the first of equals); distinct
     stripped candidates only, at most ``most``, so a key never yields more than ``most`` squared pairs."""
     kept = df.select(key, first_seen(F.col(candidates), most).alias("c"))
-    one = kept.select(key, "c", F.posexplode("c").alias("i", "hyp"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    one = kept.repartition(2 * cores)  # few bytes, much work: a fixed number of parts, which are not merged again
+    one = one.select(key, "c", F.posexplode("c").alias("i", "hyp"))
     pairs = one.select(key, "i", "hyp", F.posexplode("c").alias("j", "ref")).where("i <> j")
     scores = sentence_scores(statistics(pairs, "hyp", "ref", key, "i", "hyp"))
     means = scores.groupBy(key, "i", "hyp").agg(F.round(F.avg("chrf"), 10).alias("mean"))

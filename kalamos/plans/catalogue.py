@@ -12,6 +12,7 @@ from kalamos.operators import batching, history, lexicon, metrics, rows, runs, s
 from kalamos.operators.retrieval import nearest
 from kalamos.plans import pipeline
 from kalamos.plans import sql_text as S
+from kalamos.session import spread
 
 FLAGSHIP = "tfidf_1nn"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +20,12 @@ ORACLE: dict[str, str] = {}
 CORPUS = "golden_corpus_v2_prefilt"
 
 
+LONG = (CORPUS, "documents", "sentence_pairs", "independent_test_set_clean")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in LONG else df  # texts are what the expressions cost
 
 
 def query(sql: str | None = None):

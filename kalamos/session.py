@@ -7,7 +7,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
@@ -24,3 +24,10 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         _shipped.add(context)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores (one small file, one row group) is dealt out to all of
+    them before costly expressions; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
