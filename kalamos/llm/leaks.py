@@ -5,10 +5,11 @@ lies: every Arrow batch of documents becomes one shard of the index, postings
 (term -> places) over the terms of the held-out items, so nothing is shuffled
 and no key is hot.  For each item the lists of its rarest terms in the shard
 are taken, as many as any passage of half the item must hold at least two of,
-adjusted by their offset in the item and intersected with some play for added
-and dropped words.  Each place where they agree is first counted over all of
-the item's words near the diagonal, then aligned word by word; a passage is
-reported as an exact phrase (no word changed) or a proximity match.
+adjusted by their offset in the item and intersected with play for all the
+added and dropped words allowed.  Each place where they agree is first counted
+over all of the item's words near the diagonal, then decided exactly: the most
+words any passage keeps within the allowed edits.  A passage is reported as an
+exact phrase (no word changed) or a proximity match.
 
 A document holds an item if one aligned passage, in the item's order, has at
 least ``part`` of the item's plain words and at most ``changed`` of the
@@ -43,33 +44,43 @@ def terms_of(text: str | None) -> list[str]:
     return [t for t in (w.replace("-", "") for w in plain_words(_broken("", text))) if t] if text else []
 
 
-def align(item: list[int], passage: list[int]) -> tuple[int, int, int, int]:
-    """The best local alignment (match 1, change, addition or omission -2): matches, edits, first and last place."""
-    width = len(passage)
-    score = [0] * (width + 1)
-    state: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 1)  # matches, edits, first place
-    best, found = 0, (0, 0, 0, 0)
-    for a in item:
-        above, held = 0, (0, 0, 0)  # the cell up and to the left
-        for j in range(1, width + 1):
-            same = a == passage[j - 1]
-            options = above + (1 if same else -2)
-            up, left = score[j] - 2, score[j - 1] - 2
-            corner, corner_state = score[j], state[j]
-            if options <= 0 and up <= 0 and left <= 0:
-                score[j], state[j] = 0, (0, 0, 0)
-            elif options >= up and options >= left:
-                m, e, f = held if above > 0 else (0, 0, j - 1)
-                score[j], state[j] = options, (m + same, e + (not same), f)
-            elif up >= left:
-                m, e, f = corner_state
-                score[j], state[j] = up, (m, e + 1, f)
-            else:
-                m, e, f = state[j - 1]
-                score[j], state[j] = left, (m, e + 1, f)
-            above, held = corner, corner_state
-            if score[j] > best:
-                best, found = score[j], (*state[j], j - 1)
+def most_edits(words: int, changed: float) -> int:
+    """The most edits that any passage with up to ``words`` matches may hold."""
+    return max(1, math.floor(changed * words / (1 - changed) + 1e-9)) if changed < 1 else 2 * words
+
+
+def align(item: np.ndarray, passage: np.ndarray, least: int, changed: float) -> tuple[int, int, int, int] | None:
+    """Of all in-order alignments with at least ``least`` matches whose edits (words changed, added or left out) stay
+    within the share, the one with the most matches, then the fewest edits: matches, edits, first and last place."""
+    width, most = len(passage), most_edits(len(item), changed)
+    one, none = 1 << 32, -(1 << 62)
+    # by edits and place: matches (upper half) and first place (lower half); an alignment starts anywhere without edits
+    fresh = np.arange(width + 1)
+    state = np.full((most + 1, width + 1), none)
+    state[0] = fresh
+    best, last = np.full(most + 1, none), np.zeros(most + 1, int)
+    for a in item.tolist():
+        same = passage == a
+        new = np.full((most + 1, width + 1), none)
+        new[0] = fresh
+        new[:, 1:][:, same] = state[:, :-1][:, same] + one
+        ends = np.flatnonzero(same)
+        if len(ends):
+            at = new[:, ends + 1]
+            top = at.argmax(axis=1)
+            value = at[np.arange(most + 1), top]
+            better = value > best
+            best[better], last[better] = value[better], ends[top[better]]
+        np.maximum(new[1:], state[:-1], out=new[1:])
+        np.maximum(new[1:, 1:], state[:-1, :-1], out=new[1:, 1:])
+        for e in range(1, most + 1):
+            np.maximum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])
+        state = new
+    found = None
+    for e in range(most + 1):
+        matches = int(best[e]) >> 32
+        if matches >= least and e <= max(1, changed * (matches + e) + 1e-9) and (found is None or matches > found[0]):
+            found = (matches, e, int(best[e]) & (one - 1), int(last[e]))
     return found
 
 
@@ -122,7 +133,7 @@ class Shard:
         them for two to be left when some words are changed."""
         n = len(words)
         run = max(1, math.ceil(part * n))
-        wanted = min(run, math.ceil(changed * run) + 2)
+        wanted = min(run, max(1, math.floor(changed * n + 1e-9)) + 2)
         chosen = np.zeros(n, bool)
         for k in np.argsort(self.frequency(words), kind="stable"):
             runs = np.convolve(chosen, np.ones(run, int), "valid")
@@ -136,7 +147,7 @@ class Shard:
         """``(document, matches, edits, first word, last word)`` of the best passage of each document that holds one."""
         n = len(words)
         least = max(1, math.ceil(part * n - 1e-9))
-        play = math.ceil(changed * n / 2) + 1
+        play = most_edits(n, changed)
         seeds = self.seeds(words, part, changed)
         hits = [self.postings(int(words[k])) - k for k in seeds]
         diagonal = np.concatenate(hits) if hits else np.zeros(0, np.int64)
@@ -148,9 +159,12 @@ class Shard:
         near = np.zeros(len(diagonal), bool)
         if least < 3:
             near[:] = True
-        for step in (1, 2):
-            close = (diagonal[step:] - diagonal[:-step] <= play) & (seed[step:] != seed[:-step])
-            near[:-step] |= close
+        # a hit of another seed within the play: the last one before each run of hits of one seed, the first one after it
+        turn = np.flatnonzero(seed[1:] != seed[:-1]) + 1
+        of = np.searchsorted(turn, np.arange(len(seed)), "right")
+        before, after = np.append(-1, turn - 1)[of], np.append(turn, len(seed))[of]
+        near |= (before >= 0) & (diagonal - diagonal[before] <= play)
+        near |= (after < len(seed)) & (diagonal[np.minimum(after, len(seed) - 1)] - diagonal <= play)
         diagonal = np.unique(diagonal[near])
         if not len(diagonal):
             return []
@@ -161,13 +175,14 @@ class Shard:
             found |= self.flat[np.clip(at + shift, 0, len(self.flat) - 1)] == words[None, :]
         diagonal = diagonal[found.sum(1) >= least]
         best: dict[int, tuple[int, int, int, int]] = {}
-        item, reached = words.tolist(), -1
+        reached = -1
         for d in diagonal.tolist():
             if d <= reached:
                 continue
             low, high = max(0, d - play), d + n + 2 * play
-            matches, edits, first, last = align(item, self.flat[low:high].tolist())
-            if matches >= least and edits <= max(1, changed * (matches + edits)):
+            held = align(words, self.flat[low:high], least, changed)
+            if held:
+                matches, edits, first, last = held
                 doc = int(np.searchsorted(self.starts, low + first, "right")) - 1
                 if (matches, -edits) > best.get(doc, (0, 0))[:2]:
                     best[doc] = (matches, -edits, low + first - self.starts[doc], low + last - self.starts[doc])

@@ -1,0 +1,81 @@
+"""Cases that bounds of the matching operators used to cut off."""
+
+import random
+
+import numpy as np
+
+from kalamos.llm.leaks import Items, Shard, align
+
+
+def leak(item, passage):
+    rng = random.Random(1)
+    noise = lambda: [f"noise{rng.randrange(1000)}" for _ in range(30)]
+    items = Items([(1, " ".join(item))])
+    shard = Shard(items, [" ".join([*noise(), *passage, *noise()])], {})
+    return [(m, e) for _, m, e, *_ in shard.search(items.words[0], 0.5, 0.2)]
+
+
+def test_leaks_changed_near_an_end():
+    word = lambda k: f"w{k}"
+
+    def case(n, length, changed):
+        return leak([f"w{k}" for k in range(n)], ["other" if k in changed else word(k) for k in range(length)])
+
+    assert case(20, 11, {1}) == [(10, 1)] and case(20, 11, {2}) == [(10, 1)] and case(20, 12, {2}) == [(11, 1)]
+    assert case(40, 22, {2, 19}) == [(20, 2)]
+    assert case(20, 10, {1}) == [] and case(20, 13, {1, 4, 7}) == []
+
+
+def slow(item, passage, least, changed):
+    """Most matches (fewest edits) by following every number of edits from every start."""
+    found = {}
+    for i in range(len(item)):
+        for j in range(len(passage)):
+            now = {(i, j): {0: 0}}  # place: edits: matches
+            for x in range(i, len(item) + 1):
+                for y in range(j, len(passage) + 1):
+                    for e, m in now.get((x, y), {}).items():
+                        if e > len(item) // 2:
+                            continue
+                        found[e] = max(found.get(e, 0), m)
+                        steps = [(x + 1, y, 1, 0), (x, y + 1, 1, 0)]
+                        if x < len(item) and y < len(passage):
+                            same = int(item[x] == passage[y])
+                            steps.append((x + 1, y + 1, 1 - same, same))
+                        for p, q, cost, gain in steps:
+                            if p <= len(item) and q <= len(passage):
+                                cell = now.setdefault((p, q), {})
+                                cell[e + cost] = max(cell.get(e + cost, 0), m + gain)
+    held = [(m, -e) for e, m in found.items() if m >= least and e <= max(1, changed * (m + e) + 1e-9)]
+    return max(held, default=None)
+
+
+def test_align_against_every_start():
+    rng = random.Random(3)
+    hits = 0
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        item, passage = [rng.randrange(6) for _ in range(n)], [rng.randrange(6) for _ in range(rng.randint(1, 12))]
+        least = (n + 1) // 2
+        got, want = align(np.array(item), np.array(passage), least, 0.2), slow(item, passage, least, 0.2)
+        assert (got and (got[0], -got[1])) == want
+        hits += want is not None
+    assert 5 < hits < 58
+
+
+def test_leaks_with_edits_within_the_share():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(4, 60)
+        item = [f"w{rng.randrange(400)}" for _ in range(n)]
+        length = rng.randint((n + 1) // 2, n)
+        start = rng.randint(0, n - length)
+        passage, matches, edits = item[start : start + length], length, 0
+        while True:
+            k, how = rng.randrange(1, max(2, len(passage) - 1)), rng.randrange(3)
+            lost = int(how < 2)
+            if passage[k : k + 1] == ["other"] or matches - lost < (n + 1) // 2 or edits + 1 > 0.2 * (matches - lost + edits + 1):
+                break
+            passage[k : k + (how < 2)] = ["other"] if how != 1 else []
+            matches, edits = matches - lost, edits + 1
+        assert leak(item, passage), (item, passage)
