@@ -341,9 +341,9 @@ def tfidf_self_nn(spark, folder):
 
 @query()
 def retrieval_variants(spark, folder):
-    evals = {"new_test": table(spark, folder, "new_test_set").withColumnRenamed("test_id", "row_id")}
+    evals = {name: table(spark, folder, t).withColumnRenamed("test_id", "row_id") for name, t in (("independent", "independent_test_set_clean"), ("new_test", "new_test_set"))}
     out = None
-    for name, parts in variants.retrieval_augmented(table(spark, folder, "independent_test_set_clean").withColumnRenamed("test_id", "row_id"), evals, None, "row_id").items():
+    for name, parts in variants.retrieval_augmented(table(spark, folder, CORPUS), evals, holdout_union(spark, folder), "row_id").items():
         for split, df in parts.items():
             one = df.select("row_id", F.lit(name).alias("format"), F.lit(split).alias("split"), "retrieved_doc_id", F.round("retrieved_score", 6).alias("retrieved_score"), "transliteration")
             out = one if out is None else out.unionAll(one)

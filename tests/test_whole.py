@@ -9,3 +9,16 @@ def test_loss_status_of_late_runs(spark, tmp_path):
     got = {r.run_id: (r.status, r.num_points) for r in catalogue.loss_status(spark, str(tmp_path)).collect()}
     assert len(got) == 402 and got[3] == ("ok", 1) and got[400] == ("ok", 1)
     assert got[70_000] == ("missing_train_loss", 0) and got[5] == ("missing_history", 0)
+
+
+def test_retrieval_variants_of_every_corpus_row(spark, tmp_path):
+    text = "transliteration string, translation string"
+    corpus = [(1, "a-na be-li-ia", "to my lord", "A"), (2, "a-na be-li-ka", "to your lord", "B"), (3, "a-na be-li-ia", "held", "H"), (4, "um-ma šu-ut-ma", "thus he", None), (5, "um-ma šu-ut-ma-a", "thus", "J")]
+    spark.createDataFrame(corpus, f"row_id long, {text}, oare_id string").write.parquet(f"{tmp_path}/{catalogue.CORPUS}.parquet")
+    spark.createDataFrame([(100, "a-na be-li-ia", "x", "H")], f"test_id long, {text}, doc_id string").write.parquet(f"{tmp_path}/independent_test_set_clean.parquet")
+    spark.createDataFrame([(200, "um-ma šu-ut-ma", "y", "J")], f"test_id long, {text}, oare_id string").write.parquet(f"{tmp_path}/new_test_set.parquet")
+    got = {(r.format, r.split, r.row_id): r.retrieved_doc_id for r in catalogue.retrieval_variants(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 * (5 + 1 + 1)
+    train = {k: got["retrieval_compact", "train", k] for k in range(1, 6)}
+    assert train[1] == "B" and train[2] == "A" and train[3] == "A" and train[5] is None  # 3 and 5 are held out, so queries only
+    assert got["retrieval_compact", "independent", 100] == "A" and got["retrieval_compact", "new_test", 200] is None
