@@ -3,9 +3,11 @@
 Winnowing fingerprints.  A record's plain words give two sequences: the words
 as they stand, and the words in a canonical order (by hash), in which order
 plays no part.  Rolling hashes of 2 standing words keep the minimum of every
-window of 2 (of every single one in records under 9 words); of the canonical
-sequence every hash of 3 words is kept.  Records of up to 5 words also give
-their single words, compared with such records only.  Splits are joined on the
+window of 2; of the canonical
+sequence every hash of 3 words is kept.  Records of up to 12 words are settled
+without loss instead: of each record's bag in hash order, the first words among
+which two must be common with any record of enough common share give a key a
+pair; longer records that can still match a short one give these keys as well.  Splits are joined on the
 selected minima; the parity sketch carried along rejects hopeless pairs inside
 the join without loss.  For each candidate the seeds are chained in one line,
 extended word by word in both directions, and the common share is counted
@@ -18,6 +20,7 @@ Ids play no part in the comparison.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +34,7 @@ from kalamos.llm.words import WordHashes, bags, mix, row_of, sequence_signatures
 from kalamos.llm.work import written
 
 SHARE = 0.75
-SHORT = 5
-UNWINDOWED = 9
+SHORT = 12
 _U = np.uint64
 FOUND = "split string, test_id long, sig long, share double, test_coverage double, row_coverage double, seeds int"
 
@@ -50,11 +52,11 @@ def _grams(flat: np.ndarray, offsets: np.ndarray, k: int, salt: int) -> tuple[np
     return rolled[inside], rows[:n][inside]
 
 
-def _winnow(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The minimum of each window of two neighbours; all where the record is small or has one hash only."""
+def _winnow(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The minimum of each window of two neighbours; all where the record has one hash only."""
     if not len(values):
         return values, rows
-    keep = sizes[rows] < UNWINDOWED
+    keep = np.zeros(len(values), bool)
     pair = rows[:-1] == rows[1:]
     less = values[:-1] <= values[1:]
     keep[:-1] |= pair & less
@@ -66,16 +68,36 @@ def _winnow(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np
     return values[keep], rows[keep]
 
 
-def fingerprints(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(flat: np.ndarray, offsets: np.ndarray, share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Prefix keys of short records and of all that can reach the share with one: records with ``common`` words in
+    common agree in two of the first ``n - common + 2`` words of either in any fixed order (in one, if one is enough)."""
+    sizes = np.diff(offsets)
+    tokens, rows = bags(flat, offsets), row_of(offsets)
+    tokens = tokens[np.lexsort((tokens, rows))]
+    values, owners = [], []
+    for n in np.unique(sizes[(sizes > 0) & (sizes <= math.floor(SHORT * (2 - share) / share + 1e-9))]).tolist():
+        own = np.flatnonzero(sizes == n)
+        words = tokens[offsets[own][:, None] + np.arange(n)[None, :]]
+        common = max(1, math.ceil(share * n / (2 - share) - 1e-9))
+        if common == 1:
+            values.append(mix(words + _U(7)).ravel())
+            owners.append(np.repeat(own, n))
+        first, second = np.triu_indices(min(n, n - common + 2), 1)
+        values.append(mix(words[:, first] * _U(31) + mix(words[:, second] + _U(11))).ravel())
+        owners.append(np.repeat(own, len(first)))
+    return values, owners
+
+
+def fingerprints(flat: np.ndarray, offsets: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Selected hashes (48 bits) and their rows."""
     sizes = np.diff(offsets)
-    standing = _winnow(*_grams(flat, offsets, 2, 1), sizes)
     rows = row_of(offsets)
+    standing = _winnow(*_grams(flat, offsets, 2, 1))
     canonical = _grams(flat[np.lexsort((flat, rows))], offsets, 3, 2)
-    short = sizes[rows] <= SHORT
-    single = mix(flat[short] + _U(7)), rows[short]
-    values = np.concatenate([standing[0], canonical[0], single[0]])
-    return (values >> _U(16)).view(np.int64), np.concatenate([standing[1], canonical[1], single[1]])
+    longer = [(v[sizes[r] > SHORT], r[sizes[r] > SHORT]) for v, r in (standing, canonical)]
+    values, owners = _prefixes(flat, offsets, share)
+    values = np.concatenate([*(v for v, _ in longer), *values])
+    return (values >> _U(16)).view(np.int64), np.concatenate([*(r for _, r in longer), *owners])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +119,24 @@ def sequence_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_sequences, "id long, sig long, sketch long, words array<int>").where("size(words) > 0")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = batch.column("words")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        flat = mix(lists.values.to_numpy().view(np.uint32).astype(_U))[offsets[0] : offsets[-1]]
-        values, rows = fingerprints(flat, offsets - offsets[0])
-        # one key once per record
-        order = np.lexsort((values, rows))
-        values, rows = values[order], rows[order]
-        fresh = np.ones(len(values), bool)
-        fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-        values, rows = values[fresh], rows[fresh]
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(batch.column("sig").to_numpy()[rows]), pa.array(batch.column("sketch").to_numpy()[rows])], names=["key", "sig", "sketch"])
+def _keys(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = mix(lists.values.to_numpy().view(np.uint32).astype(_U))[offsets[0] : offsets[-1]]
+            values, rows = fingerprints(flat, offsets - offsets[0], share)
+            # one key once per record
+            order = np.lexsort((values, rows))
+            values, rows = values[order], rows[order]
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+            values, rows = values[fresh], rows[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(batch.column("sig").to_numpy()[rows]), pa.array(batch.column("sketch").to_numpy()[rows])], names=["key", "sig", "sketch"])
+
+    return run
 
 
 def chain(one: list[int], other: list[int]) -> tuple[int, int, int]:
@@ -184,7 +209,7 @@ def cross_split_overlaps(train: DataFrame, id_col: str, text_col: str, tests: di
     classes = corpus.select("sig", "sketch", "words").dropDuplicates(["sig"])
     asked_classes = asked.select("sig", "sketch", "words").dropDuplicates(["sig"])
     keys = "key long, sig long, sketch long"
-    x, y = asked_classes.mapInArrow(_keys, keys).alias("x"), classes.mapInArrow(_keys, keys).alias("y")
+    x, y = asked_classes.mapInArrow(_keys(share), keys).alias("x"), classes.mapInArrow(_keys(share), keys).alias("y")
     met = x.join(y, F.expr(f"x.key = y.key and {sketch_condition('x.sketch', 'y.sketch', share)}"))
     met = met.select(F.col("x.sig").alias("asked"), F.col("y.sig").alias("sig")).distinct()
     pairs = met.join(classes.select("sig", "words"), "sig").join(asked.select(F.col("sig").alias("asked"), "split", "id", F.col("words").alias("own")), "asked")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from kalamos.llm.leaks import Items, Shard, align
+from kalamos.llm.overlap import fingerprints
 
 
 def leak(item, passage):
@@ -79,3 +80,17 @@ def test_leaks_with_edits_within_the_share():
             passage[k : k + (how < 2)] = ["other"] if how != 1 else []
             matches, edits = matches - lost, edits + 1
         assert leak(item, passage), (item, passage)
+
+
+def test_short_records_in_any_order_have_a_common_key():
+    rng = np.random.default_rng(5)
+    for n, kept, added in [(1, 1, 0), (2, 2, 1), (4, 4, 2), (6, 5, 1), (8, 6, 2), (12, 9, 3), (12, 12, 8), (7, 7, 4)] * 150:
+        words = rng.integers(1, 2**63, n + added).astype(np.uint64)
+        one = words[:n].copy()
+        if n > 2 and kept == n:
+            one[1] = one[0]  # a repeated word
+        other = rng.permutation(np.concatenate([one[:kept], words[n:]]))
+        flat = np.concatenate([rng.permutation(one), other])
+        keys, rows = fingerprints(flat, np.array([0, n, n + len(other)]))
+        assert 2 * kept >= 0.75 * (n + len(other))
+        assert set(keys[rows == 0]) & set(keys[rows == 1]), (n, kept, added)
