@@ -432,7 +432,7 @@ def paired_bootstrap(spark, folder):
     ordered = p.withColumn("idx", F.col("id") - F.lit(p.agg(F.min("id")).first()[0]))
     other = ordered.withColumn("prediction", F.concat_ws(" ", F.col("translation"), F.col("prediction")))
     stats = metrics.statistics(ordered.withColumn("system", F.lit("one")), "prediction", "translation", "idx", "system").unionAll(metrics.statistics(other.withColumn("system", F.lit("two")), "prediction", "translation", "idx", "system"))
-    draws = metrics.hashed_draws(ordered, "idx", 200, 12345, ordered.count())
+    draws = metrics.hashed_draws(ordered, "idx", 2000, 12345, ordered.count())
     out = metrics.paired_bootstrap(stats, draws, "idx", "system", "two", "one")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 

@@ -22,3 +22,9 @@ def test_retrieval_variants_of_every_corpus_row(spark, tmp_path):
     train = {k: got["retrieval_compact", "train", k] for k in range(1, 6)}
     assert train[1] == "B" and train[2] == "A" and train[3] == "A" and train[5] is None  # 3 and 5 are held out, so queries only
     assert got["retrieval_compact", "independent", 100] == "A" and got["retrieval_compact", "new_test", 200] is None
+
+
+def test_paired_bootstrap_draws_the_stated_rounds(spark, tmp_path):
+    rows = [(k, f"word{k} of the text {k % 3}") for k in range(4)]
+    spark.createDataFrame(rows, "test_id long, translation string").write.parquet(f"{tmp_path}/independent_test_set_clean.parquet")
+    assert catalogue.paired_bootstrap(spark, str(tmp_path)).first().resamples == 2000
