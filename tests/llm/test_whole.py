@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from kalamos.llm.leaks import Items, Shard, align
+from kalamos.llm.neardup import RIGHT, _tables
 from kalamos.llm.overlap import fingerprints
 
 
@@ -94,3 +96,13 @@ def test_short_records_in_any_order_have_a_common_key():
         keys, rows = fingerprints(flat, np.array([0, n, n + len(other)]))
         assert 2 * kept >= 0.75 * (n + len(other))
         assert set(keys[rows == 0]) & set(keys[rows == 1]), (n, kept, added)
+
+
+def test_right_sides_of_the_least_share_mostly_meet():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 2**31, (2000, 25)).astype(np.int32)
+    sides = [words[:, :20], words[:, 5:]]  # 15 of 20 words in common
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 20, dtype=np.int32)), pa.array(x.ravel()))
+    one, other = (_tables(lists(np.ascontiguousarray(x)), np.ones(2000, bool), *RIGHT) for x in sides)
+    recall = (one == other).any(axis=1).mean()
+    assert recall > 0.75, recall
