@@ -109,7 +109,7 @@ def evaluation_settings(config_path: str | None, stored: dict | None = None) ->
     if config_path:
         return config.load(config_path).data
     known = (stored or {}).get("data", {})
-    return config.DataConfig(**{k: v for k, v in known.items() if k in config.DATA})
+    return config.DataConfig(**{k: v for k, v in known.items() if k in config.SETTINGS})
 
 
 Predict = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]

@@ -30,4 +30,4 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than the session has cores (one small file, one row group) is dealt out to all of
     them before costly expressions; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

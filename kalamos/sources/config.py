@@ -1,134 +1,166 @@
-"""Run configuration: three typed sections from YAML, checked, with dotted overrides."""
+"""Run configuration from YAML: a checked ``data`` section and open sections for whatever trains on its tables.
+
+Only settings that a plan of this engine reads have a row in ``SETTINGS``; each row says how a value is read, what
+holds without one and what it must fulfil.  Other names, and the sections of a trainer, are carried along as YAML
+gives them, so that a run's configuration stays one file.
+"""
 
 from __future__ import annotations
 
 import logging
-from dataclasses import field, make_dataclass
+from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
-from typing import Any
+from types import SimpleNamespace
+from typing import Any, NamedTuple
 
 log = logging.getLogger(__name__)
 
-# The names and defaults that configuration files rely on.
-DATA = {
-    "data_dir": "data/raw", "train_file": "train.csv", "test_file": "test.csv", "sentences_oare_file": "Sentences_Oare_FirstWord_LinNum.csv",
-    "ebl_dictionary_file": "eBL_Dictionary.csv", "oa_lexicon_file": "OA_Lexicon_eBL.csv", "sample_submission_file": "sample_submission.csv",
-    "val_split": 0.1, "val_split_strategy": "random", "val_group_column": "doc_id", "use_sentences_oare": True, "max_source_length": 256, "max_target_length": 256,
-    "data_mode": "document", "min_sentence_words": 2, "max_sentence_words": 150, "include_invalid_anchors": False, "source_prefix": "", "use_dictionary_gloss": False,
-    "max_glosses": 8, "filter_quality": False, "min_translation_chars": 5, "max_length_ratio": 10.0, "strip_determinatives": False, "tag_sumerograms": False,
-    "remove_gaps": False, "strip_homophone_subscripts": True, "prepared_file": None, "prepared_granularity": None, "skip_source_normalization": False,
-    "eval_primary_test_file": None, "eval_secondary_test_file": None, "holdout_doc_ids_file": None,
-}
-MODEL = {"model_type": "hf_seq2seq", "model_name": "google/mt5-small"}
-TRAIN = {
-    "seed": 42, "epochs": 30, "batch_size": 8, "learning_rate": 5e-5, "weight_decay": 0.01, "warmup_steps": 500, "gradient_accumulation_steps": 1, "fp16": True, "bf16": False,
-    "gradient_checkpointing": False, "max_grad_norm": 1.0, "early_stopping_patience": 5, "eval_steps": 200, "eval_epochs": 1, "save_steps": 200, "output_dir": "outputs",
-    "checkpoint_dir": "checkpoints", "wandb_project": "kalamos", "wandb_run_name": None, "num_beams": 4, "eval_num_beams": 1, "num_workers": 4, "label_smoothing": 0.0,
-    "no_repeat_ngram_size": 0, "repetition_penalty": 1.0, "length_penalty": 1.0, "lr_schedule": "linear", "optimizer": "adamw", "log_perf_every": 0, "profile_steps": 0, "ema_decay": 0.0,
-}
-CHOICES = {
-    "data.data_mode": ("document", "sentence_only", "extended_sentence", "mixed", "prepared"),
-    "data.val_split_strategy": ("random", "doc_id"),
-    "model.model_type": ("hf_seq2seq",),
-    "train.optimizer": ("adamw", "adafactor"),
-    "train.lr_schedule": ("linear", "cosine"),
-}
-ABOVE_ZERO = ("data.max_source_length", "data.max_target_length", "train.epochs", "train.batch_size", "train.gradient_accumulation_steps", "train.eval_steps", "train.eval_epochs", "train.num_beams", "train.eval_num_beams")
-NOT_BELOW_ZERO = ("train.log_perf_every", "train.profile_steps")
-TRUE, FALSE = ("true", "1", "yes", "y", "on"), ("false", "0", "no", "n", "off")
-
-
-def _section(name: str, defaults: dict[str, Any]) -> type:
-    return make_dataclass(name, [(k, type(v) if v is not None else Any, field(default=v)) for k, v in defaults.items()])
 
+class Setting(NamedTuple):
+    kind: type
+    default: Any
+    holds: Callable[[Any], bool] = lambda value: True
+    says: str = ""
+
+
+def _one_of(*names: str) -> tuple[Callable[[Any], bool], str]:
+    return (lambda value: value in names), "one of " + ", ".join(names)
+
+
+_COUNT = (lambda value: value >= 0), "0 or more"
+_OPEN_SHARE = (lambda value: 0 < value < 1), "between 0 and 1, both excluded"
+
+# Names and defaults that configuration files rely on.
+SETTINGS: dict[str, Setting] = {
+    # where the tables lie
+    "data_dir": Setting(str, "data/raw"),
+    "train_file": Setting(str, "train.csv"),
+    "test_file": Setting(str, "test.csv"),
+    "prepared_file": Setting(str, None),
+    "holdout_doc_ids_file": Setting(str, None),
+    # which rows
+    "data_mode": Setting(str, "document", *_one_of("document", "sentence_only", "extended_sentence", "mixed", "prepared")),
+    "prepared_granularity": Setting(str, None),
+    "include_invalid_anchors": Setting(bool, False),
+    "min_sentence_words": Setting(int, 2, *_COUNT),
+    "max_sentence_words": Setting(int, 150, *_COUNT),
+    "filter_quality": Setting(bool, False),
+    "min_translation_chars": Setting(int, 5, *_COUNT),
+    "max_length_ratio": Setting(float, 10.0, *_COUNT),
+    # what becomes of their texts
+    "skip_source_normalization": Setting(bool, False),
+    "strip_determinatives": Setting(bool, False),
+    "tag_sumerograms": Setting(bool, False),
+    "remove_gaps": Setting(bool, False),
+    "strip_homophone_subscripts": Setting(bool, True),
+    "use_dictionary_gloss": Setting(bool, False),
+    "max_glosses": Setting(int, 8, *_COUNT),
+    # how they are split
+    "val_split": Setting(float, 0.1, *_OPEN_SHARE),
+    "val_split_strategy": Setting(str, "random", *_one_of("random", "doc_id")),
+    "val_group_column": Setting(str, "doc_id"),
+}
 
-DataConfig, ModelConfig, TrainConfig = _section("DataConfig", DATA), _section("ModelConfig", MODEL), _section("TrainConfig", TRAIN)
-OPTIONAL = {f"{s}.{k}" for s, d in (("data", DATA), ("train", TRAIN)) for k, v in d.items() if v is None}
-Config = make_dataclass("Config", [("data", Any, field(default_factory=DataConfig)), ("model", Any, field(default_factory=ModelConfig)), ("train", Any, field(default_factory=TrainConfig))])
 
+def _yaml(text: str) -> Any:
+    import yaml
 
-def value_of(config: Any, dotted: str) -> Any:
-    section, name = dotted.split(".", 1)
-    return getattr(getattr(config, section), name)
+    return yaml.safe_load(text)
 
 
-def validate(config: Any) -> Any:
-    if config.train.fp16 and config.train.bf16:
-        raise ValueError("fp16 and bf16 exclude each other")
-    if not 0 < config.data.val_split < 1:
-        raise ValueError("data.val_split must lie between 0 and 1")
-    for key, allowed in CHOICES.items():
-        if value_of(config, key) not in allowed:
-            raise ValueError(f"unknown {key} {value_of(config, key)!r}; one of {sorted(allowed)}")
-    for key in ABOVE_ZERO + NOT_BELOW_ZERO:
-        if value_of(config, key) < (key in ABOVE_ZERO):
-            raise ValueError(f"{key} is too small")
+def read_value(setting: Setting, value: Any) -> Any:
+    """``value`` (from YAML or a command line) as the setting's kind; ``ValueError`` where it cannot be."""
+    if isinstance(value, str) and setting.kind is not str:
+        value = _yaml(value)
+    if value is None or (setting.kind is str and setting.default is None and value in ("null", "none", "None", "")):
+        if setting.default is not None:
+            raise ValueError("a value is needed")
+        return None
+    if setting.kind is bool and value in (0, 1):
+        value = bool(value)
+    if setting.kind is float and isinstance(value, int) and not isinstance(value, bool):
+        value = float(value)
+    if setting.kind is str and not isinstance(value, str):
+        value = str(value)
+    if type(value) is not setting.kind:
+        raise ValueError(f"{value!r} is not of kind {setting.kind.__name__}")
+    return value
+
+
+class DataConfig(SimpleNamespace):
+    """The ``data`` section: every known setting by name, and the other names given."""
+
+    def __init__(self, **given: Any) -> None:
+        super().__init__(**{name: setting.default for name, setting in SETTINGS.items()})
+        for name, value in given.items():
+            if name not in SETTINGS:
+                log.warning("data.%s is not read by any plan", name)
+            setattr(self, name, read_value(SETTINGS[name], value) if name in SETTINGS else value)
+
+    def check(self) -> DataConfig:
+        for name, setting in SETTINGS.items():
+            value = getattr(self, name)
+            if value is not None and not setting.holds(value):
+                raise ValueError(f"data.{name} is {value!r}; it must be {setting.says}")
+        return self
+
+
+class Config(SimpleNamespace):
+    """All sections; ``data`` is a :class:`DataConfig`, the others are plain namespaces."""
+
+    def __init__(self, sections: Mapping[str, Mapping[str, Any]] | None = None) -> None:
+        given = dict(sections or {})
+        super().__init__(data=DataConfig(**given.pop("data", {})), **{name: SimpleNamespace(**part) for name, part in given.items()})
+
+
+def load(path: str | Path, folders: Iterable[str | Path] = ()) -> Config:
+    """The checked configuration in ``path``; a bare name is also looked for anywhere below ``folders``, where it must
+    stand once."""
+    places = [Path(path)] if Path(path).exists() else [hit for folder in folders for hit in Path(folder).rglob(Path(path).name)]
+    if len(places) != 1:
+        raise FileNotFoundError(f"{path}: {'found more than once' if places else 'no such configuration'}")
+    sections = _yaml(places[0].read_text(encoding="utf-8")) or {}
+    if not isinstance(sections, dict):
+        raise ValueError(f"{places[0]}: top-level must be a mapping")
+    if odd := [name for name, part in sections.items() if not isinstance(part, dict)]:
+        raise ValueError(f"{places[0]}: the sections {odd} must be mappings")
+    config = Config(sections)
+    config.data.check()
     return config
 
 
-def find_config(path: str | Path, root: str | Path = "experiments/configs") -> Path:
-    """The file itself, else one of that name below the folder of configurations, if it is the only one."""
-    path, root = Path(path), Path(root)
-    if path.exists():
-        return path
-    if (root / path.name).exists():
-        return root / path.name
-    found = sorted(root.rglob(path.name)) if root.exists() else []
-    if len(found) != 1:
-        raise FileNotFoundError(f"no configuration {path}")
-    return found[0]
-
-
-def load(path: str | Path) -> Any:
-    import yaml
-
-    path = find_config(path)
-    raw = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
-    if not isinstance(raw, dict):
-        raise ValueError(f"Config top-level must be a mapping: {path}")
-    parts = {}
-    for name, kind in (("data", DataConfig), ("model", ModelConfig), ("train", TrainConfig)):
-        part = raw.get(name, {})
-        if not isinstance(part, dict):
-            raise ValueError(f"section {name!r} of {path} must be a mapping")
-        parts[name] = kind(**part)
-    return validate(Config(**parts))
-
-
-def _parsed(now: Any, raw: str, optional: bool) -> Any:
-    if optional and raw.strip().lower() in ("none", "null"):
-        return None
-    if isinstance(now, bool):
-        said = raw.strip().lower()
-        if said not in TRUE + FALSE:
-            raise ValueError(f"{raw!r} is not a truth value")
-        return said in TRUE
-    return type(now)(raw) if isinstance(now, (int, float)) else raw
-
-
-def override(config: Any, words: list[str]) -> Any:
-    """``--section.name value`` pairs, read as the type of what they replace.  Unknown names and values that cannot be
-    read are skipped with a warning."""
-    for key, raw in zip(words[::2], words[1::2], strict=False):
-        dotted = key.lstrip("-")
-        section, _, name = dotted.partition(".")
-        part = getattr(config, section, None) if name else None
-        if part is None or not hasattr(part, name):
-            log.warning("unknown setting %s skipped", key)
+def override(config: Config, words: list[str]) -> Config:
+    """Apply ``--section.name value`` words.  A setting of ``data`` is read as its kind, one of an open section as
+    YAML.  What is unknown or cannot be read is left as it was, with a warning."""
+    ahead = iter(words)
+    for word in ahead:
+        value = next(ahead, None)
+        section, _, name = word.removeprefix("--").partition(".")
+        part = getattr(config, section, None)
+        if value is None or not name or (part is None and section == "data") or (section == "data" and name not in SETTINGS):
+            log.warning("%s changes nothing: %s", word, "it has no value" if value is None else "no such setting")
             continue
         try:
-            setattr(part, name, _parsed(getattr(part, name), raw, dotted in OPTIONAL))
-        except ValueError as e:
-            log.warning("setting %s skipped: %s", key, e)
-    if len(words) % 2:
-        log.warning("setting %s has no value", words[-1])
+            read = read_value(SETTINGS[name], value) if section == "data" else _yaml(value)
+        except ValueError as reason:
+            log.warning("%s changes nothing: %s", word, reason)
+            continue
+        if part is None:
+            part = SimpleNamespace()
+            setattr(config, section, part)
+        setattr(part, name, read)
     return config
 
 
+# The switches of the normalisation chain and the settings that turn them.
+SWITCHES = {"strip_determinatives": "strip_determinatives", "tag_sumerograms": "tag_sumerograms", "remove_gaps": "remove_gaps", "strip_homophones": "strip_homophone_subscripts"}
+
+
 def normalisation_flags(data: Any) -> dict[str, bool]:
     """The switches of the normalisation chain as the chain calls them."""
-    return {"strip_determinatives": data.strip_determinatives, "tag_sumerograms": data.tag_sumerograms, "remove_gaps": data.remove_gaps, "strip_homophones": data.strip_homophone_subscripts}
+    return {switch: getattr(data, setting) for switch, setting in SWITCHES.items()}
 
 
 def active_ablations(data: Any) -> list[str]:
-    return [n for n in ("strip_determinatives", "tag_sumerograms", "remove_gaps") if getattr(data, n)]
+    """The switches that change more than a clean run does."""
+    return [setting for setting in SWITCHES.values() if getattr(data, setting) and not SETTINGS[setting].default]

@@ -143,24 +143,29 @@ def test_sinks(spark, tmp_path):
 
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
-    path.write_text("data: {data_mode: mixed, max_glosses: 3}\ntrain: {fp16: false}\n")
+    path.write_text("data: {data_mode: mixed, max_glosses: 3}\ntrain: {fp16: false, epochs: 30}\n")
     c = config.load(path)
-    assert c.data.data_mode == "mixed" and c.data.max_glosses == 3 and c.data.val_split == 0.1
-    config.override(c, ["--train.batch_size", "16", "--train.wandb_run_name", "null", "--data.filter_quality", "yes", "--data.nothing", "1", "--train.epochs", "many", "--odd"])
-    assert (c.train.batch_size, c.train.wandb_run_name, c.data.filter_quality, c.train.epochs) == (16, None, True, 30)
+    assert c.data.data_mode == "mixed" and c.data.max_glosses == 3 and c.data.val_split == 0.1 and c.train.epochs == 30
+    words = ["--train.batch_size", "16", "--train.wandb_run_name", "exp-1", "--data.filter_quality", "yes", "--data.nothing", "1", "--data.max_glosses", "many", "--data.prepared_file", "p.csv", "--odd"]
+    config.override(c, words)
+    assert (c.train.batch_size, c.train.wandb_run_name, c.data.filter_quality, c.data.max_glosses, c.data.prepared_file) == (16, "exp-1", True, 3, "p.csv")
+    config.override(c, ["--train.wandb_run_name", "null", "--data.prepared_file", "null", "--data.val_split", "1", "--data.filter_quality", "0", "--model.name", "x"])
+    assert (c.train.wandb_run_name, c.data.prepared_file, c.data.val_split, c.data.filter_quality, c.model.name) == (None, None, 1.0, False, "x")
+    with pytest.raises(ValueError, match="val_split"):
+        c.data.check()
     assert config.active_ablations(c.data) == [] and config.normalisation_flags(c.data)["strip_homophones"]
-    path.write_text("- a\n")
-    with pytest.raises(ValueError, match="top-level must be a mapping"):
-        config.load(path)
-    for bad in ({"data": {"val_split": 1.0}}, {"train": {"bf16": True}}, {"train": {"optimizer": "x"}}, {"train": {"epochs": 0}}):
+    for bad in ({"data": {"val_split": 1.0}}, {"data": {"val_split_strategy": "x"}}, {"data": {"max_glosses": -1}}, {"data": {"remove_gaps": "perhaps"}}, {"data": 3}, ["a"]):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             config.load(path)
-    path.write_text(json.dumps({"data": {"unknown": 1}}))
-    with pytest.raises(TypeError):
+    path.write_text("- a\n")
+    with pytest.raises(ValueError, match="top-level must be a mapping"):
         config.load(path)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below/only.yaml").write_text("data: {unknown: 1}")
+    assert config.load("only.yaml", [tmp_path]).data.unknown == 1
     with pytest.raises(FileNotFoundError):
-        config.find_config("no_such.yaml")
+        config.load("no_such.yaml", [tmp_path])
 
 
 def test_evaluation_settings(tmp_path):
