@@ -1,17 +1,24 @@
 """Problem 1: records of evaluation splits that stand, exactly or almost, in the training split.
 
 Winnowing fingerprints.  A record's plain words give two sequences: the words
-as they stand, and the words in a canonical order (by hash), in which order
-plays no part.  Rolling hashes of 2 standing words keep the minimum of every
-window of 2; of the canonical
-sequence every hash of 3 words is kept.  Records of up to 12 words are settled
-without loss instead: of each record's bag in hash order, the first words among
-which two must be common with any record of enough common share give a key a
-pair; longer records that can still match a short one give these keys as well.  Splits are joined on the
-selected minima; the parity sketch carried along rejects hopeless pairs inside
-the join without loss.  For each candidate the seeds are chained in one line,
-extended word by word in both directions, and the common share is counted
-exactly; coverage is the part of each record that the extended chain covers.
+as they stand, and their canonical order (by hash, a repeated word told apart
+by its number), in which the order of the text plays no part.  Of either
+sequence the rolling hashes of 2 neighbours are winnowed, keeping the minimum of
+every window of 2, so that any 3 words in common in a row select a common hash.
+Records of up to 12 words are settled without loss instead, by prefix keys: of
+the words in canonical order, the first among which two must be common with any
+record of enough common share give a key a pair; longer records give these keys
+as far as they can match a short one.
+
+Splits are joined on the selected minima; the training side shuffles only keys
+that may stand in a test split (a filter of fixed size), and the parity sketch
+carried along rejects hopeless pairs inside the join without loss.  For each
+candidate the seeds are chained and extended by alignment.  In the canonical
+order all seeds are collinear and the best alignment across the gaps is a merge
+of the two sequences; its aligned words give the share that decides, and the
+coverage of either record.  For records found, the seeds of the text's own order
+are chained as well and extended word by word: ``in_order`` is the part of the
+test record that stands in one line in the training record.
 
 Copies in the training split are one class (equal word sequences) until the
 last join.  Records without words (null, empty, signs only) match nothing.
@@ -20,9 +27,7 @@ Ids play no part in the comparison.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalamos.llm.words import WordHashes, bags, mix, row_of, sequence_signatures, sketch_condition, sketches
+from kalamos.llm.keyfilter import key_filter, may_meet
+from kalamos.llm.words import WordHashes, bags, mix, prefix_keys, row_of, sequence_signatures, sketch_condition, sketches
 from kalamos.llm.work import written
 
 SHARE = 0.75
 SHORT = 12
 _U = np.uint64
-FOUND = "split string, test_id long, sig long, share double, test_coverage double, row_coverage double, seeds int"
+FOUND = "split string, test_id long, sig long, share double, test_coverage double, row_coverage double, in_order double"
 
 
 def _grams(flat: np.ndarray, offsets: np.ndarray, k: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,36 +74,20 @@ def _winnow(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return values[keep], rows[keep]
 
 
-def _prefixes(flat: np.ndarray, offsets: np.ndarray, share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Prefix keys of short records and of all that can reach the share with one: records with ``common`` words in
-    common agree in two of the first ``n - common + 2`` words of either in any fixed order (in one, if one is enough)."""
-    sizes = np.diff(offsets)
-    tokens, rows = bags(flat, offsets), row_of(offsets)
-    tokens = tokens[np.lexsort((tokens, rows))]
-    values, owners = [], []
-    for n in np.unique(sizes[(sizes > 0) & (sizes <= math.floor(SHORT * (2 - share) / share + 1e-9))]).tolist():
-        own = np.flatnonzero(sizes == n)
-        words = tokens[offsets[own][:, None] + np.arange(n)[None, :]]
-        common = max(1, math.ceil(share * n / (2 - share) - 1e-9))
-        if common == 1:
-            values.append(mix(words + _U(7)).ravel())
-            owners.append(np.repeat(own, n))
-        first, second = np.triu_indices(min(n, n - common + 2), 1)
-        values.append(mix(words[:, first] * _U(31) + mix(words[:, second] + _U(11))).ravel())
-        owners.append(np.repeat(own, len(first)))
-    return values, owners
+def canonical(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The words of each record as a set of (word, how-manyth), in the order of their hashes."""
+    tokens = bags(flat, offsets)
+    return tokens[np.lexsort((tokens, row_of(offsets)))]
 
 
 def fingerprints(flat: np.ndarray, offsets: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Selected hashes (48 bits) and their rows."""
     sizes = np.diff(offsets)
-    rows = row_of(offsets)
-    standing = _winnow(*_grams(flat, offsets, 2, 1))
-    canonical = _grams(flat[np.lexsort((flat, rows))], offsets, 3, 2)
-    longer = [(v[sizes[r] > SHORT], r[sizes[r] > SHORT]) for v, r in (standing, canonical)]
-    values, owners = _prefixes(flat, offsets, share)
-    values = np.concatenate([*(v for v, _ in longer), *values])
-    return (values >> _U(16)).view(np.int64), np.concatenate([*(r for _, r in longer), *owners])
+    tokens = canonical(flat, offsets)
+    grams = [_winnow(*_grams(words, offsets, 2, salt)) for salt, words in ((1, flat), (2, tokens))]
+    grams = [(v[sizes[r] > SHORT], r[sizes[r] > SHORT]) for v, r in grams]
+    grams.append(prefix_keys(tokens, offsets, share, SHORT))
+    return (np.concatenate([v for v, _ in grams]) >> _U(16)).view(np.int64), np.concatenate([r for _, r in grams])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +109,20 @@ def sequence_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_sequences, "id long, sig long, sketch long, words array<int>").where("size(words) > 0")
 
 
-def _keys(share: float):
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return mix(lists.values.to_numpy().view(np.uint32).astype(_U))[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _keys(share: float, asked=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            flat = mix(lists.values.to_numpy().view(np.uint32).astype(_U))[offsets[0] : offsets[-1]]
-            values, rows = fingerprints(flat, offsets - offsets[0], share)
+            values, rows = fingerprints(*_flat(batch.column("words")), share)
+            if asked is not None:
+                some = may_meet(asked.value, values)
+                values, rows = values[some], rows[some]
             # one key once per record
             order = np.lexsort((values, rows))
             values, rows = values[order], rows[order]
@@ -139,12 +134,23 @@ def _keys(share: float):
     return run
 
 
-def chain(one: list[int], other: list[int]) -> tuple[int, int, int]:
-    """Seeds (pairs of equal neighbouring words) chained in one line and extended word by word:
-    words covered in either record, and the number of chained seeds."""
+def aligned(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each pair of records (flat words and offsets of either side), the words aligned in the canonical order.
+
+    Both sequences are sorted and hold every token once, so the chain of all seeds, extended over the gaps, is the
+    merge of the two: a token is aligned if it stands on both sides."""
+    rows = np.concatenate([row_of(one[1]), row_of(other[1])])
+    tokens = np.concatenate([canonical(*one), canonical(*other)])
+    order = np.lexsort((tokens, rows))
+    tokens, rows = tokens[order], rows[order]
+    twice = (tokens[1:] == tokens[:-1]) & (rows[1:] == rows[:-1])
+    return np.bincount(rows[1:][twice], minlength=len(one[1]) - 1)
+
+
+def in_order(one: list[int], other: list[int]) -> int:
+    """Words of ``one`` that a chain of seeds in the order of the texts covers, extended word by word both ways."""
     if len(one) == 1 or len(other) == 1:
-        hit = int(bool(set(one) & set(other)))
-        return hit, hit, hit
+        return int(bool(set(one) & set(other)))
     at: dict[tuple[int, int], list[int]] = {}
     for j in range(len(other) - 1):
         at.setdefault((other[j], other[j + 1]), []).append(j)
@@ -164,39 +170,35 @@ def chain(one: list[int], other: list[int]) -> tuple[int, int, int]:
         line.append(seeds[k])
         k = before[k]
     line.reverse()
-    first: set[int] = set()
-    second: set[int] = set()
+    covered: set[int] = set()
     for i, j in line:
         for x, y, step in ((i, j, 1), (i, j, -1)):
-            while 0 <= x < len(one) and 0 <= y < len(other) and one[x] == other[y] and (step == 1 or x == i or x not in first):
-                first.add(x)
-                second.add(y)
+            while 0 <= x < len(one) and 0 <= y < len(other) and one[x] == other[y] and (step == 1 or x == i or x not in covered):
+                covered.add(x)
                 x, y = x + step, y + step
-    return len(first), len(second), len(line)
-
-
-def common_share(one: list[int], other: list[int]) -> float:
-    return 2 * sum((Counter(one) & Counter(other)).values()) / (len(one) + len(other))
+    return len(covered)
 
 
 def _compare(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for split, test_id, sig, one, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = common_share(one, other)
-                if found >= share - 1e-9:
-                    a, b, seeds = chain(one, other)
-                    out.append((split, test_id, sig, found, a / len(one), b / len(other), seeds))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["split", "test_id", "sig", "share", "test_coverage", "row_coverage", "seeds"])
+            one, other = _flat(batch.column("own")), _flat(batch.column("words"))
+            n, m = np.diff(one[1]), np.diff(other[1])
+            common = aligned(one, other)
+            some = np.flatnonzero(2 * common >= share * (n + m) - 1e-9)
+            kept = batch.take(pa.array(some))
+            line = [in_order(a, b) for a, b in zip(kept.column("own").to_pylist(), kept.column("words").to_pylist(), strict=True)]
+            common, n, m = common[some], n[some], m[some]
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(k) for k in range(3)), *map(pa.array, (2 * common / (n + m), common / n, common / m, np.array(line, float) / n))],
+                names=["split", "test_id", "sig", "share", "test_coverage", "row_coverage", "in_order"],
+            )
 
     return run
 
 
 def cross_split_overlaps(train: DataFrame, id_col: str, text_col: str, tests: dict[str, tuple[DataFrame, str]], share: float = SHARE) -> DataFrame:
-    """``split, test_id, row_id, share, test_coverage, row_coverage, seeds`` of every overlap.
+    """``split, test_id, row_id, share, test_coverage, row_coverage, in_order`` of every overlap.
 
     ``tests`` names each split with its table and id column; the text column is the same everywhere.
     """
@@ -209,13 +211,14 @@ def cross_split_overlaps(train: DataFrame, id_col: str, text_col: str, tests: di
     classes = corpus.select("sig", "sketch", "words").dropDuplicates(["sig"])
     asked_classes = asked.select("sig", "sketch", "words").dropDuplicates(["sig"])
     keys = "key long, sig long, sketch long"
-    x, y = asked_classes.mapInArrow(_keys(share), keys).alias("x"), classes.mapInArrow(_keys(share), keys).alias("y")
+    wanted = written(asked_classes.mapInArrow(_keys(share), keys), "test-keys")
+    x, y = wanted.alias("x"), classes.mapInArrow(_keys(share, key_filter(wanted)), keys).alias("y")
     met = x.join(y, F.expr(f"x.key = y.key and {sketch_condition('x.sketch', 'y.sketch', share)}"))
     met = met.select(F.col("x.sig").alias("asked"), F.col("y.sig").alias("sig")).distinct()
     pairs = met.join(classes.select("sig", "words"), "sig").join(asked.select(F.col("sig").alias("asked"), "split", "id", F.col("words").alias("own")), "asked")
     found = pairs.select("split", "id", "sig", "own", "words").mapInArrow(_compare(share), FOUND)
     rows = corpus.select("sig", F.col("id").alias("row_id"))
-    return found.join(rows, "sig").select("split", "test_id", "row_id", "share", "test_coverage", "row_coverage", "seeds")
+    return found.join(rows, "sig").select("split", "test_id", "row_id", "share", "test_coverage", "row_coverage", "in_order")
 
 
 def overlap_report(overlaps: DataFrame, train: DataFrame, id_col: str, source_col: str) -> DataFrame:

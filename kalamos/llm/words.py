@@ -7,6 +7,7 @@ Python worker and remembered; the memory is emptied when it grows too large.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -109,3 +110,30 @@ def minima(tokens: np.ndarray, offsets: np.ndarray, seeds: Sequence[int]) -> np.
     """MinHash values, one line per seed; rows must not be empty."""
     with np.errstate(over="ignore"):
         return np.stack([np.minimum.reduceat(mix(tokens ^ mix(np.array([s], _U) * _GOLD)), offsets[:-1]) for s in seeds])
+
+
+def prefix_keys(tokens: np.ndarray, offsets: np.ndarray, share: float, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and their rows, that two bags of the common share must have in common.
+
+    Bags with ``common`` words in common agree in two of the first ``n - common + 2`` words of either in any fixed
+    order, here that of the hashes; ``common`` is what a bag of ``n`` words needs with the smallest bag that can reach
+    the share.  Where one common word is enough, single words are keys as well.  Bags of more than ``longest`` words
+    give keys only as far as they can reach the share with one of at most ``longest``."""
+    sizes = np.diff(offsets)
+    rows = row_of(offsets)
+    tokens = tokens[np.lexsort((tokens, rows))]
+    most = math.inf if longest is None else math.floor(longest * (2 - share) / share + 1e-9)
+    values, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes[(sizes > 0) & (sizes <= most)]).tolist():
+        own = np.flatnonzero(sizes == n)
+        common = max(1, math.ceil(share * n / (2 - share) - 1e-9))
+        first, second = np.triu_indices(min(n, n - common + 2), 1)
+        for start in range(0, len(own), max(1, 4_000_000 // max(1, len(first)))):
+            part = own[start : start + max(1, 4_000_000 // max(1, len(first)))]
+            words = tokens[offsets[part][:, None] + np.arange(n)[None, :]]
+            if common == 1:
+                values.append(mix(words + _U(7)).ravel())
+                owners.append(np.repeat(part, n))
+            values.append(mix(words[:, first] * _U(31) + mix(words[:, second] + _U(11))).ravel())
+            owners.append(np.repeat(part, len(first)))
+    return np.concatenate(values), np.concatenate(owners)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kalamos.llm.leaks import leak_report, leaked_items, terms_of
 from kalamos.llm.lookalike import plain_words
 from kalamos.llm.neardup import near_duplicate_pairs, near_duplicate_report
-from kalamos.llm.overlap import chain, cross_split_overlaps, overlap_report
+from kalamos.llm.overlap import cross_split_overlaps, in_order, overlap_report
 from kalamos.llm.spans import SharedSpans, points, rolling, stretches, window_minima
 from tests.llm.test_forms import with_clashes
 
@@ -92,9 +92,9 @@ def test_overlaps(spark):
 
 
 def test_chain():
-    assert chain([1, 2, 3, 4, 5], [1, 2, 3, 4, 5])[:2] == (5, 5)
-    assert chain([1, 2, 3, 9, 4, 5], [1, 2, 3, 8, 4, 5]) == (5, 5, 3)
-    assert chain([1], [1]) == (1, 1, 1) and chain([1, 2], [3, 4]) == (0, 0, 0)
+    assert in_order([1, 2, 3, 4, 5], [1, 2, 3, 4, 5]) == 5
+    assert in_order([1, 2, 3, 9, 4, 5], [1, 2, 3, 8, 4, 5]) == 5
+    assert in_order([1], [1]) == 1 and in_order([1, 2], [3, 4]) == 0
 
 
 def test_leaks(spark):

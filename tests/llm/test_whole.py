@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
-import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from kalamos.llm.leaks import Items, Shard, align
-from kalamos.llm.neardup import RIGHT, _tables
-from kalamos.llm.overlap import fingerprints
+from kalamos.llm.neardup import TABLES, near_duplicate_pairs, recall_at, tensored
+from kalamos.llm.keyfilter import key_filter, may_meet
+from kalamos.llm.overlap import aligned, fingerprints
+from kalamos.llm.words import prefix_keys
 
 
 def leak(item, passage):
@@ -98,11 +101,71 @@ def test_short_records_in_any_order_have_a_common_key():
         assert set(keys[rows == 0]) & set(keys[rows == 1]), (n, kept, added)
 
 
-def test_right_sides_of_the_least_share_mostly_meet():
+@pytest.mark.parametrize(("share", "least"), [(0.75, 0.94), (0.80, 0.97), (0.85, 0.985), (0.90, 0.99)])
+def test_bags_of_a_share_meet(share, least):
     rng = np.random.default_rng(6)
-    words = rng.integers(0, 2**31, (2000, 25)).astype(np.int32)
-    sides = [words[:, :20], words[:, 5:]]  # 15 of 20 words in common
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 20, dtype=np.int32)), pa.array(x.ravel()))
-    one, other = (_tables(lists(np.ascontiguousarray(x)), np.ones(2000, bool), *RIGHT) for x in sides)
+    common = round(20 * share)
+    words = rng.integers(0, 2**62, (4000, 40 - common)).astype(np.uint64)
+    offsets = np.arange(0, 4000 * 20 + 1, 20)
+    one, other = (tensored(np.ascontiguousarray(x).ravel(), offsets, *TABLES) for x in (words[:, :20], words[:, 20 - common :]))
     recall = (one == other).any(axis=1).mean()
-    assert recall > 0.75, recall
+    assert recall >= least and abs(recall - recall_at(share)) < 0.02, recall
+
+
+def test_prefix_keys_lose_nothing():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n, m = rng.integers(1, 40, 2)
+        for common in range(1, min(n, m) + 1):
+            if 2 * common >= 0.75 * (n + m):
+                pool = rng.integers(0, 2**62, n + m).astype(np.uint64)
+                flat = np.concatenate([rng.permutation(pool[:n]), rng.permutation(np.concatenate([pool[:common], pool[n : n + m - common]]))])
+                keys, rows = prefix_keys(flat, np.array([0, n, n + m]), 0.75)
+                assert set(keys[rows == 0]) & set(keys[rows == 1]), (n, m, common)
+
+
+def test_exact_near_duplicates(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+        other = words[:15] + [f"x{rng.randrange(10**6)}" for _ in range(5)]
+        rng.shuffle(other)
+        rows += [(2 * k, " ".join(words), None), (2 * k + 1, " ".join(other), None if k % 2 else "")]
+        if k % 3 == 0:
+            rows[-2:] = [(i, b, a) for i, a, b in rows[-2:]]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string")
+    got = {tuple(r) for r in near_duplicate_pairs(df, "row_id", "a", "b", exact=True).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(150)}
+
+
+def test_longer_records_in_any_order_mostly_meet():
+    rng = np.random.default_rng(8)
+    for n in (13, 16, 20, 30):
+        met = 0
+        for _ in range(1000):
+            changed = n // 4
+            pool = rng.integers(0, 2**62, n + changed).astype(np.uint64)
+            flat = np.concatenate([pool[:n], rng.permutation(np.concatenate([pool[: n - changed], pool[n:]]))])
+            keys, rows = fingerprints(flat, np.array([0, n, 2 * n]))
+            met += bool(set(keys[rows == 0]) & set(keys[rows == 1]))
+        print(n, met / 1000)
+        assert met >= 950, (n, met)
+
+
+def test_alignment_counts_common_words():
+    rng = random.Random(5)
+    from collections import Counter
+
+    pairs = [([rng.randrange(9) for _ in range(rng.randint(0, 12))], [rng.randrange(9) for _ in range(rng.randint(0, 12))]) for _ in range(200)]
+    side = lambda k: (np.array([w for p in pairs for w in p[k]], np.uint64), np.cumsum([0, *(len(p[k]) for p in pairs)]))
+    assert aligned(side(0), side(1)).tolist() == [sum((Counter(a) & Counter(b)).values()) for a, b in pairs]
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 5000, 7).select((F.col("id") * 123456789).alias("key"))
+    table = key_filter(keys, bits=12).value
+    assert len(table) == 64 and may_meet(table, np.arange(0, 5000, 7) * 123456789).all()
+    table = key_filter(keys).value
+    assert may_meet(table, np.arange(0, 5000) * 123456789).sum() < 800
+    assert not may_meet(key_filter(keys.where("false")).value, np.arange(100)).any()
