@@ -1,24 +1,34 @@
 """Problem 8: held-out passages that stand, wholly or partly, in training documents.
 
-Distributed positional inverted index.  The training side is indexed where it
-lies: every Arrow batch of documents becomes one shard of the index, postings
-(term -> places) over the terms of the held-out items, so nothing is shuffled
-and no key is hot.  For each item the lists of its rarest terms in the shard
-are taken, as many as any passage of half the item must hold at least two of,
-adjusted by their offset in the item and intersected with play for all the
-added and dropped words allowed.  Each place where they agree is first counted
-over all of the item's words near the diagonal, then decided exactly: the most
-words any passage keeps within the allowed edits.  A passage is reported as an
-exact phrase (no word changed) or a proximity match.
+Distributed positional inverted index.  ``PositionalIndex.build`` stores the
+training side's postings once: documents are taken in shards of about
+``SHARD`` words, and a shard is written as one row a term (its places in the
+shard, as differences in variable bytes), ordered by term, and one row that says
+which document begins where.  A shard is indexed where its documents lie, so
+building shuffles nothing, and a term that stands everywhere is split over the
+shards.  Any number of item sets can then be asked without reading a document:
+
+1. the terms of the items are joined to the index for their numbers of places;
+2. for each item its rarest terms are taken, as many as any passage of the part
+   asked for must hold at least two of after the edits allowed;
+3. their postings are joined to the items, and for each item and shard the lists,
+   adjusted by the term's offset in the item, are intersected with play for all
+   added and dropped words allowed: the diagonals on which a passage may lie;
+4. each shard with candidates gathers the postings of those items' terms, and each
+   diagonal is decided exactly: the most words that a passage of one document
+   keeps within the allowed edits.  It is an exact phrase (no word changed) or a
+   proximity match.
 
 A document holds an item if one aligned passage, in the item's order, has at
 least ``part`` of the item's plain words and at most ``changed`` of the
 passage (never less than one word) is changed, added or left out inside it.
 Line breaks, blanks and words broken at a line end make no difference.
 
-The held-out set is a stated query set and goes to every task in blocks of at
-most ``BLOCK`` items, each asked of all documents.  Null, empty and wordless
-texts and items match nothing; repeated items each count.
+Terms are told apart by 64-bit hashes.  Items and their postings meet in joins;
+nothing is collected or sent to every task.  A task holds one shard: as many
+words as one document at least, and ``SHARD`` or one document more at most.
+Null, empty and wordless texts and items match nothing; repeated items each
+count, and so do documents with the same id.
 """
 
 from __future__ import annotations
@@ -29,13 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalamos.llm.lookalike import HYPHENS, plain_words
+from kalamos.llm.work import new_place, written
 
-PART, CHANGED, BLOCK = 0.5, 0.2, 20_000
+PART, CHANGED, SHARD = 0.5, 0.2, 250_000
 REMEMBERED = 500_000
+INDEX = "term long, shard long, n int, places binary, docs array<long>"
+FOUND = "doc long, item long, matches int, words int, edits int, first int, last int"
+_U = np.uint64
 _broken = re.compile(f"[-­{HYPHENS}](?:\r\n|[\n\r\u0085  ])").sub
 
 
@@ -84,147 +99,280 @@ def align(item: np.ndarray, passage: np.ndarray, least: int, changed: float) ->
     return found
 
 
-class Items:
-    """The held-out items as numbers over their own terms."""
+class Terms:
+    """Hashes of a text's terms; what a piece between blanks holds is remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str | None) -> list[int]:
+        out: list[int] = []
+        known = self.known
+        for piece in _broken("", text).split() if text else ():
+            found = known.get(piece)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[piece] = tuple(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms_of(piece))
+            out += found
+        return out
+
+
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variable bytes (7 bits each, the highest bit says that more follow) and the number of bytes of each value."""
+    values = values.astype(_U)
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= (_U(1) << _U(7 * k))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max()) if len(size) else 0):
+        some = size > k
+        more = (size[some] > k + 1).astype(np.uint8) << 7
+        out[ends[some] - size[some] + k] = ((values[some] >> _U(7 * k)) & _U(127)).astype(np.uint8) | more
+    return out, size
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], raw[:-1] < 128]))
+    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
+    return np.add.reduceat((raw & 127).astype(_U) << (_U(7) * place.astype(_U)), first).astype(np.int64)
+
+
+def posting_rows(shard: int, docs: list[int], sizes: list[int], words: np.ndarray) -> pa.RecordBatch:
+    """One shard of the index: its words in the order of the documents become a row a term, and one without a term."""
+    order = np.argsort(words, kind="stable")
+    terms, first = np.unique(words[order], return_index=True)
+    gaps = np.diff(order, prepend=0)
+    gaps[first] = order[first]
+    data, size = pack(gaps)
+    ends = np.concatenate([[0], np.cumsum(size)])[np.append(first, len(order))]
+    starts, many = pack(np.array(sizes))
+    places = pa.Array.from_buffers(pa.binary(), len(terms) + 1, [None, pa.py_buffer(np.append(ends, ends[-1] + len(starts)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes() + starts.tobytes())])
+    count = np.append(np.diff(np.append(first, len(order))), len(docs)).astype(np.int32)
+    own = pa.array([*[None] * len(terms), docs], pa.list_(pa.int64()))
+    term = pa.array(np.append(terms.view(np.int64), 0), mask=np.append(np.zeros(len(terms), bool), True))
+    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(count), shard)), pa.array(count), places, own], names=["term", "shard", "n", "places", "docs"])
+
+
+def _index(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        terms, shard = Terms(), TaskContext.get().partitionId() << 32
+        docs: list[int] = []
+        sizes: list[int] = []
+        words: list[int] = []
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = terms(text)
+                if own:
+                    docs.append(doc)
+                    sizes.append(len(own))
+                    words += own
+                if len(words) >= size:
+                    yield posting_rows(shard, docs, sizes, np.array(words, _U))
+                    shard, docs, sizes, words = shard + 1, [], [], []
+        if docs:
+            yield posting_rows(shard, docs, sizes, np.array(words, _U))
+
+    return run
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    terms = Terms()
+    for batch in batches:
+        words = [np.array(terms(t), _U).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item", "terms"])
+
+
+def seeds(frequency: np.ndarray, part: float, changed: float) -> np.ndarray:
+    """Places in the item of its rarest terms, so many that every stretch of the wanted part holds enough of them for
+    two to be left when some words are changed."""
+    n = len(frequency)
+    run = max(1, math.ceil(part * n))
+    wanted = min(run, max(1, math.floor(changed * n + 1e-9)) + 2)
+    chosen = np.zeros(n, bool)
+    runs = np.zeros(n - run + 1, np.int64)  # chosen places of each stretch
+    for k in np.argsort(frequency, kind="stable").tolist():
+        around = slice(max(0, k - run + 1), min(k, n - run) + 1)
+        if runs[around].min() < wanted:
+            chosen[k] = True
+            runs[around] += 1
+    return np.flatnonzero(chosen)
+
+
+def _seed_rows(part: float, changed: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                entries.sort(key=lambda e: e["k"])
+                chosen = seeds(np.array([e["total"] for e in entries]), part, changed).tolist()
+                out += [(item, len(entries), k, entries[k]["term"]) for k in chosen if entries[k]["total"]]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "n", "k", "term"])
+
+    return run
 
-    def __init__(self, rows: list[tuple[int, str | None]]) -> None:
-        self.number: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.words: list[np.ndarray] = []
-        for item_id, text in rows:
-            terms = terms_of(text)
-            if terms:
-                self.ids.append(item_id)
-                self.words.append(np.array([self.number.setdefault(t, len(self.number)) for t in terms], np.int32))
-        self.longest = max((len(w) for w in self.words), default=0)
+
+def diagonals(hits: list[tuple[int, np.ndarray]], n: int, part: float, changed: float) -> np.ndarray:
+    """Where the item may begin: places of its seeds minus their offsets that agree, within the play, with those of
+    another seed."""
+    least, play = max(1, math.ceil(part * n - 1e-9)), most_edits(n, changed)
+    diagonal = np.concatenate([places - k for k, places in hits])
+    seed = np.repeat([k for k, _ in hits], [len(places) for _, places in hits])
+    if least < 3:
+        return np.unique(diagonal)
+    order = np.argsort(diagonal, kind="stable")
+    diagonal, seed = diagonal[order], seed[order]
+    # a hit of another seed within the play: the last one before each run of hits of one seed, the first one after it
+    turn = np.flatnonzero(seed[1:] != seed[:-1]) + 1
+    of = np.searchsorted(turn, np.arange(len(seed)), "right")
+    before, after = np.append(-1, turn - 1)[of], np.append(turn, len(seed))[of]
+    near = (before >= 0) & (diagonal - diagonal[before] <= play)
+    near |= (after < len(seed)) & (diagonal[np.minimum(after, len(seed) - 1)] - diagonal <= play)
+    return np.unique(diagonal[near])
+
+
+def _candidates(part: float, changed: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, shards, found = [], [], []
+            for item, n, shard, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where = diagonals([(h["k"], np.cumsum(unpack(h["places"]))) for h in hits], n, part, changed)
+                if len(where):
+                    items.append(item)
+                    shards.append(shard)
+                    found.append(where)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(shards, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["item", "shard", "diagonals"])
+
+    return run
 
 
 class Shard:
-    """Postings of one batch of documents; documents are kept apart by a gap longer than any item."""
-
-    def __init__(self, items: Items, texts: list[str | None], known: dict[str, tuple[int, ...]]) -> None:
-        gap = [-1] * (2 * items.longest + 4)
-        flat: list[int] = list(gap)
-        self.starts: list[int] = []
-        for text in texts:
-            self.starts.append(len(flat))
-            if text:
-                for piece in _broken("", text).split():
-                    found = known.get(piece)
-                    if found is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        found = known[piece] = tuple(items.number.get(t, -1) for t in terms_of(piece))
-                    flat += found
-            flat += gap
-        self.flat = np.array(flat, np.int32)
-        held = np.flatnonzero(self.flat >= 0)
-        self.places = held[np.argsort(self.flat[held], kind="stable")]
-        self.first = np.searchsorted(self.flat[self.places], np.arange(len(items.number) + 1))
-
-    def frequency(self, words: np.ndarray) -> np.ndarray:
-        return self.first[words + 1] - self.first[words]
-
-    def postings(self, word: int) -> np.ndarray:
-        return self.places[self.first[word] : self.first[word + 1]]
-
-    def seeds(self, words: np.ndarray, part: float, changed: float) -> np.ndarray:
-        """Places in the item of its rarest terms, so many that every stretch of the wanted part holds enough of
-        them for two to be left when some words are changed."""
-        n = len(words)
-        run = max(1, math.ceil(part * n))
-        wanted = min(run, max(1, math.floor(changed * n + 1e-9)) + 2)
-        chosen = np.zeros(n, bool)
-        for k in np.argsort(self.frequency(words), kind="stable"):
-            runs = np.convolve(chosen, np.ones(run, int), "valid")
-            if runs.min() >= wanted:
-                break
-            if runs[max(0, k - run + 1) : k + 1].min() < wanted:
-                chosen[k] = True
-        return np.flatnonzero(chosen)
-
-    def search(self, words: np.ndarray, part: float, changed: float) -> list[tuple[int, int, int, int, int]]:
-        """``(document, matches, edits, first word, last word)`` of the best passage of each document that holds one."""
+    """The words of a shard as far as they are terms of the items asked there, put back from their postings."""
+
+    def __init__(self) -> None:
+        self.number: dict[int, int] = {}
+        self.lists: list[np.ndarray] = []
+        self.docs: list[int] = []
+        self.flat: np.ndarray | None = None
+
+    def add(self, term: int | None, places: bytes, docs: list[int] | None) -> None:
+        if term is None:
+            self.docs = docs or []
+            self.ends = np.cumsum(unpack(places))
+            self.starts = np.append(0, self.ends[:-1])
+        else:
+            self.number[term] = len(self.lists)
+            self.lists.append(np.cumsum(unpack(places)))
+
+    def search(self, terms: list[int], diagonal: np.ndarray, part: float, changed: float) -> list[tuple[int, int, int, int, int]]:
+        """``(document's place, matches, edits, first word, last word)`` of the best passage of each document that holds one."""
+        if self.flat is None:
+            self.flat = np.full(int(self.ends[-1]), -1, np.int32)
+            for k, places in enumerate(self.lists):
+                self.flat[places] = k
+        words = np.array([self.number.get(t, -2) for t in terms], np.int32)
         n = len(words)
-        least = max(1, math.ceil(part * n - 1e-9))
-        play = most_edits(n, changed)
-        seeds = self.seeds(words, part, changed)
-        hits = [self.postings(int(words[k])) - k for k in seeds]
-        diagonal = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-        if not len(diagonal):
-            return []
-        seed = np.repeat(seeds, [len(h) for h in hits])
-        order = np.argsort(diagonal, kind="stable")
-        diagonal, seed = diagonal[order], seed[order]
-        near = np.zeros(len(diagonal), bool)
-        if least < 3:
-            near[:] = True
-        # a hit of another seed within the play: the last one before each run of hits of one seed, the first one after it
-        turn = np.flatnonzero(seed[1:] != seed[:-1]) + 1
-        of = np.searchsorted(turn, np.arange(len(seed)), "right")
-        before, after = np.append(-1, turn - 1)[of], np.append(turn, len(seed))[of]
-        near |= (before >= 0) & (diagonal - diagonal[before] <= play)
-        near |= (after < len(seed)) & (diagonal[np.minimum(after, len(seed) - 1)] - diagonal <= play)
-        diagonal = np.unique(diagonal[near])
-        if not len(diagonal):
-            return []
-        # how many of the item's words stand near the diagonal
-        at = diagonal[:, None] + np.arange(n)[None, :]
-        found = np.zeros(at.shape, bool)
+        least, play = max(1, math.ceil(part * n - 1e-9)), most_edits(n, changed)
+        # every document that the stretch around a diagonal touches
+        low = np.searchsorted(self.ends, diagonal - play, "right")
+        high = np.maximum(np.searchsorted(self.starts, diagonal + n + play, "left"), low)
+        many = high - low
+        diagonal = np.repeat(diagonal, many)
+        doc = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        start, end = self.starts[doc], self.ends[doc]
+        found = np.zeros((len(diagonal), n), bool)
         for shift in range(-play, play + 1):
-            found |= self.flat[np.clip(at + shift, 0, len(self.flat) - 1)] == words[None, :]
-        diagonal = diagonal[found.sum(1) >= least]
+            at = diagonal[:, None] + np.arange(shift, n + shift)[None, :]
+            inside = (at >= start[:, None]) & (at < end[:, None])
+            found |= inside & (self.flat[np.clip(at, 0, len(self.flat) - 1)] == words[None, :])
+        some = found.sum(1) >= least
         best: dict[int, tuple[int, int, int, int]] = {}
-        reached = -1
-        for d in diagonal.tolist():
-            if d <= reached:
+        reached: dict[int, int] = {}
+        for d, k in zip(diagonal[some].tolist(), doc[some].tolist(), strict=True):
+            if d <= reached.get(k, d - 1):
                 continue
-            low, high = max(0, d - play), d + n + 2 * play
-            held = align(words, self.flat[low:high], least, changed)
+            begin, stop = int(self.starts[k]), int(self.ends[k])
+            low_, high_ = max(begin, d - play), min(stop, d + n + 2 * play)
+            held = align(words, self.flat[low_:high_], least, changed)
             if held:
                 matches, edits, first, last = held
-                doc = int(np.searchsorted(self.starts, low + first, "right")) - 1
-                if (matches, -edits) > best.get(doc, (0, 0))[:2]:
-                    best[doc] = (matches, -edits, low + first - self.starts[doc], low + last - self.starts[doc])
-            reached = d + play // 2
-        return [(doc, m, -e, f, t) for doc, (m, e, f, t) in best.items()]
+                if (matches, -edits) > best.get(k, (0, 0))[:2]:
+                    best[k] = (matches, -edits, low_ + first - begin, low_ + last - begin)
+            reached[k] = d + play // 2
+        return [(k, m, -e, f, t) for k, (m, e, f, t) in best.items()]
 
 
-def _search(rows: list[tuple[int, str | None]], part: float, changed: float):
+def _decide(part: float, changed: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
-        known: dict[str, tuple[int, ...]] = {}
+        now, shard = None, Shard()
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            shard = Shard(items, batch.column(1).to_pylist(), known)
-            out = []
-            for item_id, words in zip(items.ids, items.words, strict=True):
-                out += [(docs[doc], item_id, m, len(words), e, f, t) for doc, m, e, f, t in shard.search(words, part, changed)]
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "item", "matches", "words", "edits", "first", "last"])
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                columns = batch.slice(start, 1000).to_pydict()
+                for number, term, places, docs, item, terms, where in zip(*(columns[c] for c in ("shard", "term", "places", "docs", "item", "terms", "diagonals")), strict=True):
+                    if number != now:
+                        now, shard = number, Shard()
+                    if item is None:
+                        shard.add(term, places, docs)
+                    else:
+                        out += [(shard.docs[k], item, m, len(terms), e, f, t) for k, m, e, f, t in shard.search(terms, np.array(where), part, changed)]
+                found = list(zip(*out, strict=True)) or [[]] * 7
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names=["doc", "item", "matches", "words", "edits", "first", "last"])
 
     return run
 
 
+class PositionalIndex:
+    """Stored postings of a table of documents."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = path
+        self.rows = spark.read.schema(INDEX).parquet(path)
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, text_col: str, path: str | None = None, size: int = SHARD) -> PositionalIndex:
+        """Index the documents into ``path`` (by default a place in the shared folder)."""
+        spark = docs.sparkSession
+        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+        path = path or new_place(spark, "index")
+        rows.mapInArrow(_index(size), INDEX).write.parquet(path)
+        return cls(spark, path)
+
+    def search(self, items: DataFrame, item_col: str, item_text: str, part: float = PART, changed: float = CHANGED) -> DataFrame:
+        """``doc, item, matches, words, edits, first, last``: the best passage of each item in each document that holds
+        it; ``first`` and ``last`` count the document's plain words."""
+        postings = self.rows.where("term is not null")
+        asked = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and text <> ''")
+        asked = written(asked.mapInArrow(_item_terms, "item long, terms array<long>").where("size(terms) > 0").withColumn("number", F.monotonically_increasing_id()), "items")
+        terms = asked.select("number", F.posexplode("terms").alias("k", "term"))
+        total = postings.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
+        entries = terms.join(total, "term", "left").groupBy("number").agg(F.collect_list(F.struct("k", "term", F.coalesce("total", F.lit(0)).alias("total"))).alias("entries"))
+        chosen = written(entries.mapInArrow(_seed_rows(part, changed), "item long, n int, k int, term long"), "seeds")
+        met = chosen.join(postings.select("term", "shard", "places"), "term").groupBy("item", "n", "shard").agg(F.collect_list(F.struct("k", "places")).alias("hits"))
+        found = met.mapInArrow(_candidates(part, changed), "item long, shard long, diagonals array<long>").withColumnRenamed("item", "number")
+        found = written(found.join(asked, "number").select("shard", "item", "terms", "diagonals"), "candidates")
+        needed = found.select("shard", F.explode(F.array_distinct("terms")).alias("term")).distinct()
+        none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+        blank = [none("item", "long"), none("terms", "array<long>"), none("diagonals", "array<long>")]
+        lists = postings.join(needed, ["term", "shard"], "left_semi").select("shard", "term", "places", none("docs", "array<long>"), *blank)
+        heads = self.rows.where("term is null").join(found.select("shard").distinct(), "shard", "left_semi").select("shard", "term", "places", "docs", *blank)
+        rows = found.select("shard", none("term", "long"), none("places", "binary"), none("docs", "array<long>"), "item", "terms", "diagonals")
+        together = lists.unionAll(heads).unionAll(rows).repartition("shard").sortWithinPartitions("shard", F.col("item").asc_nulls_first())
+        return together.mapInArrow(_decide(part, changed), FOUND)
+
+
 def leaked_items(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, part: float = PART, changed: float = CHANGED) -> DataFrame:
-    """``doc, item, matches, words, edits, first, last``: the best passage of each item in each document that holds it;
-    ``first`` and ``last`` count the document's plain words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    asked = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null and text <> ''")
-    found = None
-    block: list[tuple[int, str | None]] = []
-    schema = "doc long, item long, matches int, words int, edits int, first int, last int"
-
-    def ask(found: DataFrame | None, block: list[tuple[int, str | None]]) -> DataFrame:
-        one = rows.mapInArrow(_search(block, part, changed), schema)
-        return one if found is None else found.unionAll(one)
-
-    for row in asked.orderBy("item").toLocalIterator():  # one block of the stated query set at a time
-        block.append((row["item"], row["text"]))
-        if len(block) == BLOCK:
-            found, block = ask(found, block), []
-    return ask(found, block) if block or found is None else found
+    """Index the documents and ask all items: see :meth:`PositionalIndex.search`."""
+    return PositionalIndex.build(docs, id_col, text_col).search(items, item_col, item_text, part, changed)
 
 
 def leak_report(found: DataFrame, items: DataFrame, item_col: str, split_col: str) -> DataFrame:

@@ -28,9 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path for a new table in the shared folder; whatever lies there goes when the application ends."""
+    path = f"{shared_folder(spark)}/kalamos/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here.  Also the place."""
-    path = f"{shared_folder(df.sparkSession)}/kalamos/{name}-{uuid.uuid4().hex}"
+    path = new_place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
