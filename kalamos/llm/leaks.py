@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from kalamos.llm.lookalike import HYPHENS, plain_words
 from kalamos.llm.work import new_place, written
 
-PART, CHANGED, SHARD = 0.5, 0.2, 250_000
+PART, CHANGED, SHARD = 0.5, 0.2, 100_000
 REMEMBERED = 500_000
 INDEX = "term long, shard long, n int, places binary, docs array<long>"
 FOUND = "doc long, item long, matches int, words int, edits int, first int, last int"
@@ -133,13 +133,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def unpack(lists: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed numbers of all rows, summed up within each row, and the offsets of the rows in them."""
+    bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+    raw = np.frombuffer(lists.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    last = raw < 128
+    offsets = np.append(0, np.cumsum(last))[bounds - bounds[0]]
     if not len(raw):
-        return np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], raw[:-1] < 128]))
+        return np.zeros(0, np.int64), offsets
+    first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
     place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
-    return np.add.reduceat((raw & 127).astype(_U) << (_U(7) * place.astype(_U)), first).astype(np.int64)
+    sums = np.cumsum(np.add.reduceat((raw & 127).astype(_U) << (_U(7) * place.astype(_U)), first).astype(np.int64))
+    return sums - np.repeat(np.append(0, sums)[offsets[:-1]], np.diff(offsets)), offsets
 
 
 def posting_rows(shard: int, docs: list[int], sizes: list[int], words: np.ndarray) -> pa.RecordBatch:
@@ -194,7 +199,8 @@ def seeds(frequency: np.ndarray, part: float, changed: float) -> np.ndarray:
     two to be left when some words are changed."""
     n = len(frequency)
     run = max(1, math.ceil(part * n))
-    wanted = min(run, max(1, math.floor(changed * n + 1e-9)) + 2)
+    # a passage with more edits is so long that it holds two stretches apart, one of them with half of the edits
+    wanted = min(run, max(1, math.floor(changed * (2 * run - 1) + 1e-9)) + 2)
     chosen = np.zeros(n, bool)
     runs = np.zeros(n - run + 1, np.int64)  # chosen places of each stretch
     for k in np.argsort(frequency, kind="stable").tolist():
@@ -209,13 +215,13 @@ def _seed_rows(part: float, changed: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for item, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 entries.sort(key=lambda e: e["k"])
                 chosen = seeds(np.array([e["total"] for e in entries]), part, changed).tolist()
-                out += [(item, len(entries), k, entries[k]["term"]) for k in chosen if entries[k]["total"]]
+                out += [(number, len(entries), k, entries[k]["term"]) for k in chosen if entries[k]["total"]]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "n", "k", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["number", "n", "k", "term"])
 
     return run
 
@@ -228,8 +234,8 @@ def diagonals(hits: list[tuple[int, np.ndarray]], n: int, part: float, changed:
     seed = np.repeat([k for k, _ in hits], [len(places) for _, places in hits])
     if least < 3:
         return np.unique(diagonal)
-    order = np.argsort(diagonal, kind="stable")
-    diagonal, seed = diagonal[order], seed[order]
+    both = np.sort((diagonal << 20) | seed)  # one sort of plain numbers; items are shorter than 2 ** 20 words
+    diagonal, seed = both >> 20, both & ((1 << 20) - 1)
     # a hit of another seed within the play: the last one before each run of hits of one seed, the first one after it
     turn = np.flatnonzero(seed[1:] != seed[:-1]) + 1
     of = np.searchsorted(turn, np.arange(len(seed)), "right")
@@ -242,14 +248,17 @@ def diagonals(hits: list[tuple[int, np.ndarray]], n: int, part: float, changed:
 def _candidates(part: float, changed: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hits = batch.column("hits")
+            places, offsets = unpack(hits.values.field("places"))
+            seed, bounds = hits.values.field("k").to_numpy(), hits.offsets.to_numpy()
             items, shards, found = [], [], []
-            for item, n, shard, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                where = diagonals([(h["k"], np.cumsum(unpack(h["places"]))) for h in hits], n, part, changed)
+            for row, (item, n, shard) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("number", "n", "shard")), strict=True)):
+                where = diagonals([(int(seed[e]), places[offsets[e] : offsets[e + 1]]) for e in range(bounds[row], bounds[row + 1])], n, part, changed)
                 if len(where):
                     items.append(item)
                     shards.append(shard)
                     found.append(where)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(shards, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["item", "shard", "diagonals"])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(shards, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["number", "shard", "diagonals"])
 
     return run
 
@@ -263,24 +272,27 @@ class Shard:
         self.docs: list[int] = []
         self.flat: np.ndarray | None = None
 
-    def add(self, term: int | None, places: bytes, docs: list[int] | None) -> None:
+    def add(self, term: int | None, places: np.ndarray, docs: list[int] | None) -> None:
         if term is None:
             self.docs = docs or []
-            self.ends = np.cumsum(unpack(places))
-            self.starts = np.append(0, self.ends[:-1])
+            self.ends = places
+            self.starts = np.append(0, places[:-1])
         else:
             self.number[term] = len(self.lists)
-            self.lists.append(np.cumsum(unpack(places)))
+            self.lists.append(places)
 
     def search(self, terms: list[int], diagonal: np.ndarray, part: float, changed: float) -> list[tuple[int, int, int, int, int]]:
         """``(document's place, matches, edits, first word, last word)`` of the best passage of each document that holds one."""
         if self.flat is None:
             self.flat = np.full(int(self.ends[-1]), -1, np.int32)
-            for k, places in enumerate(self.lists):
-                self.flat[places] = k
+            if self.lists:
+                self.flat[np.concatenate(self.lists)] = np.repeat(np.arange(len(self.lists)), [len(p) for p in self.lists])
         words = np.array([self.number.get(t, -2) for t in terms], np.int32)
         n = len(words)
         least, play = max(1, math.ceil(part * n - 1e-9)), most_edits(n, changed)
+        # how many places of the item's words lie near each diagonal: at least as many as the words that do
+        near = np.sort(np.concatenate([self.lists[w] - k for k, w in enumerate(words.tolist()) if w >= 0]))
+        diagonal = diagonal[np.searchsorted(near, diagonal + play, "right") - np.searchsorted(near, diagonal - play, "left") >= least]
         # every document that the stretch around a diagonal touches
         low = np.searchsorted(self.ends, diagonal - play, "right")
         high = np.maximum(np.searchsorted(self.starts, diagonal + n + play, "left"), low)
@@ -315,13 +327,15 @@ def _decide(part: float, changed: float):
         now, shard = None, Shard()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
+                part_ = batch.slice(start, 1000)
                 out = []
-                columns = batch.slice(start, 1000).to_pydict()
-                for number, term, places, docs, item, terms, where in zip(*(columns[c] for c in ("shard", "term", "places", "docs", "item", "terms", "diagonals")), strict=True):
+                places, ends = unpack(part_.column("places").fill_null(b""))
+                columns = part_.select(["shard", "term", "docs", "item", "terms", "diagonals"]).to_pydict()
+                for row, (number, term, docs, item, terms, where) in enumerate(zip(*columns.values(), strict=True)):
                     if number != now:
                         now, shard = number, Shard()
                     if item is None:
-                        shard.add(term, places, docs)
+                        shard.add(term, places[ends[row] : ends[row + 1]], docs)
                     else:
                         out += [(shard.docs[k], item, m, len(terms), e, f, t) for k, m, e, f, t in shard.search(terms, np.array(where), part, changed)]
                 found = list(zip(*out, strict=True)) or [[]] * 7
@@ -351,14 +365,15 @@ class PositionalIndex:
         """``doc, item, matches, words, edits, first, last``: the best passage of each item in each document that holds
         it; ``first`` and ``last`` count the document's plain words."""
         postings = self.rows.where("term is not null")
+        parts = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to decide: not to be merged
         asked = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null and text <> ''")
         asked = written(asked.mapInArrow(_item_terms, "item long, terms array<long>").where("size(terms) > 0").withColumn("number", F.monotonically_increasing_id()), "items")
         terms = asked.select("number", F.posexplode("terms").alias("k", "term"))
         total = postings.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
         entries = terms.join(total, "term", "left").groupBy("number").agg(F.collect_list(F.struct("k", "term", F.coalesce("total", F.lit(0)).alias("total"))).alias("entries"))
-        chosen = written(entries.mapInArrow(_seed_rows(part, changed), "item long, n int, k int, term long"), "seeds")
-        met = chosen.join(postings.select("term", "shard", "places"), "term").groupBy("item", "n", "shard").agg(F.collect_list(F.struct("k", "places")).alias("hits"))
-        found = met.mapInArrow(_candidates(part, changed), "item long, shard long, diagonals array<long>").withColumnRenamed("item", "number")
+        chosen = entries.mapInArrow(_seed_rows(part, changed), "number long, n int, k int, term long")
+        met = chosen.join(postings.select("term", "shard", "places"), "term").repartition(parts, "number", "n", "shard").groupBy("number", "n", "shard").agg(F.collect_list(F.struct("k", "places")).alias("hits"))
+        found = met.mapInArrow(_candidates(part, changed), "number long, shard long, diagonals array<long>")
         found = written(found.join(asked, "number").select("shard", "item", "terms", "diagonals"), "candidates")
         needed = found.select("shard", F.explode(F.array_distinct("terms")).alias("term")).distinct()
         none = lambda name, kind: F.lit(None).cast(kind).alias(name)
@@ -366,7 +381,7 @@ class PositionalIndex:
         lists = postings.join(needed, ["term", "shard"], "left_semi").select("shard", "term", "places", none("docs", "array<long>"), *blank)
         heads = self.rows.where("term is null").join(found.select("shard").distinct(), "shard", "left_semi").select("shard", "term", "places", "docs", *blank)
         rows = found.select("shard", none("term", "long"), none("places", "binary"), none("docs", "array<long>"), "item", "terms", "diagonals")
-        together = lists.unionAll(heads).unionAll(rows).repartition("shard").sortWithinPartitions("shard", F.col("item").asc_nulls_first())
+        together = lists.unionAll(heads).unionAll(rows).repartition(parts, "shard").sortWithinPartitions("shard", F.col("item").asc_nulls_first())
         return together.mapInArrow(_decide(part, changed), FOUND)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,12 +19,13 @@ def leak(item, passage):
     noise = lambda: [f"noise{rng.randrange(1000)}" for _ in range(30)]
     terms = Terms()
     docs = [terms(" ".join(noise())), terms(" ".join([*noise(), *passage, *noise()])), terms(" ".join(noise()))]
-    rows = posting_rows(3, [7, 8, 9], [len(d) for d in docs], np.array(sum(docs, []), np.uint64)).to_pylist()
+    batch = posting_rows(3, [7, 8, 9], [len(d) for d in docs], np.array(sum(docs, []), np.uint64))
+    places, offsets = unpack(batch.column("places"))
+    where = {t: places[offsets[k] : offsets[k + 1]] for k, t in enumerate(batch.column("term").to_pylist())}
     shard = Shard()
-    for row in rows:
-        shard.add(row["term"], row["places"], row["docs"])
+    for term in where:
+        shard.add(term, where[term], [7, 8, 9] if term is None else None)
     asked = [t - (1 << 64) if t >> 63 else t for t in terms(" ".join(item))]
-    where = {row["term"]: np.cumsum(unpack(row["places"])) for row in rows}
     frequency = np.array([len(where.get(t, ())) for t in asked])
     hits = [(k, where[asked[k]]) for k in seeds(frequency, 0.5, 0.2).tolist() if frequency[k]]
     found = shard.search(asked, diagonals(hits, len(asked), 0.5, 0.2), 0.5, 0.2) if hits else []
@@ -35,8 +37,12 @@ def test_packed_numbers():
     rng = np.random.default_rng(2)
     values = np.concatenate([[0, 127, 128, 1 << 40], rng.integers(0, 1 << 20, 1000)])
     data, size = pack(values)
-    assert size.sum() == len(data) and unpack(data.tobytes()).tolist() == values.tolist()
-    assert len(unpack(b"")) == 0
+    ends = np.cumsum(size)
+    rows = [data[: ends[3]].tobytes(), b"", data[ends[3] :].tobytes()]
+    got, offsets = unpack(pa.array([b"zz", *rows], pa.binary()).slice(1))
+    assert size.sum() == len(data) and offsets.tolist() == [0, 4, 4, 1004]
+    assert got.tolist() == [*np.cumsum(values[:4]), *np.cumsum(values[4:])]
+    assert len(unpack(pa.array([], pa.binary()))[0]) == 0
 
 
 def test_a_second_item_set_reads_no_document(spark, tmp_path):
