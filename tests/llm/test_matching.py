@@ -66,6 +66,8 @@ def test_near_duplicates(spark):
             want.add((i, j))
     assert len(got) == len(set(got)) and set(got) <= want
     assert len(set(got)) >= 0.97 * len(want)
+    shuffled = near_duplicate_pairs(df, "row_id", "transliteration", "translation", most_broadcast=0)
+    assert sorted(tuple(r) for r in shuffled.collect()) == sorted(got)
     report = {r.id: r for r in near_duplicate_report(df, "row_id", "transliteration", "translation").collect()}
     assert report[0].copies >= 6 and set(report) == {i for i, a, b in rows if plain_words(a) or plain_words(b)}
     assert near_duplicate_pairs(df.where("false"), "row_id", "transliteration", "translation").count() == 0
