@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from kalamos.llm.lookalike import HYPHENS, plain_words
 from kalamos.llm.work import new_place, written
 
-PART, CHANGED, SHARD = 0.5, 0.2, 100_000
+PART, CHANGED, SHARD = 0.5, 0.2, 250_000
 REMEMBERED = 500_000
 INDEX = "term long, shard long, n int, places binary, docs array<long>"
 FOUND = "doc long, item long, matches int, words int, edits int, first int, last int"
@@ -312,6 +312,11 @@ class Shard:
             if d <= reached.get(k, d - 1):
                 continue
             begin, stop = int(self.starts[k]), int(self.ends[k])
+            if begin <= d and d + n <= stop and (self.flat[d : d + n] == words).all():  # the whole phrase: no better passage
+                if best.get(k, (0,))[:2] < (n, 0):
+                    best[k] = (n, 0, d - begin, d + n - 1 - begin)
+                reached[k] = d + play // 2
+                continue
             low_, high_ = max(begin, d - play), min(stop, d + n + 2 * play)
             held = align(words, self.flat[low_:high_], least, changed)
             if held:
