@@ -2,8 +2,8 @@
 
 Confusables skeleton: every text is decomposed, mapped character by character
 to its look-alike prototype and decomposed again; texts are grouped by equal
-skeleton.  The skeleton is computed in Arrow batches and leaves Python as a
-128-bit digest, so only fixed-width rows are shuffled.  Copies of one written
+skeleton.  The skeleton is computed once, in Arrow batches, and leaves Python as
+a 128-bit digest; the digests are written, and only fixed-width rows are shuffled.  Copies of one written
 form are counted as one class before classes are paired: the pairing costs what
 it returns, also where one form holds a third of all rows.
 
@@ -24,6 +24,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from kalamos.llm.lookalike import one_form, skeleton
+from kalamos.llm.work import written
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +45,20 @@ def look_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_digests, "id long, look_a long, look_b long, own long")
 
 
+def alike_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, class_id, forms, rows``: every row that looks like one with other characters, its class (named by the least
+    id of the rows that look so) and how many written forms and rows the class has."""
+    rows = written(look_digests(df, id_col, text_col), "looks")
+    look = ["look_a", "look_b"]
+    # forms first, so that a form that holds a third of all rows is one row a task
+    forms = rows.groupBy(*look, "own").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = forms.groupBy(*look).agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows")).where("forms > 1")
+    return rows.join(classes, look).select("id", "class_id", "forms", "rows")
+
+
 def alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_a < id_b``: rows that look the same but are not the same characters."""
-    rows = look_digests(df, id_col, text_col)
+    rows = written(look_digests(df, id_col, text_col), "looks")
     look = ["look_a", "look_b"]
     mixed = rows.groupBy(*look).agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select(*look)
     rows = rows.join(mixed, look)

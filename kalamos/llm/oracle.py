@@ -1,8 +1,31 @@
-"""SQL for the pN_ queries that SQL can express on whole tables: the independent side of the checks."""
+"""SQL for the pN_ queries that SQL can express on whole tables.
+
+Its table of look-alikes is written by hand and holds what the given tables use; the operators read theirs from
+Unicode's data.  What both share are the lists of brackets, hyphens and fillers, which are stated facts of the task."""
 
 from __future__ import annotations
 
-from kalamos.llm.lookalike import LOOKALIKE, PLAIN
+import unicodedata
+
+from kalamos.llm.lookalike import BRACKETS, BRAILLE_BLANK, FILLERS, HYPHENS, LOWERED
+
+# Letters and the ASCII letters they look like.
+LETTERS = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳνοϲАВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝӏүՍՏՕօսոհցɑɡɩʏαρσЬі", "ABEZHIKMNOPTYXCjvocABESIJKMHOPCTYXYGQWaesijopcyxhdqwlyUSOounhgagiyapobi")
+
+
+def _table() -> dict[int, str | None]:
+    table: dict[int, str | None] = dict(zip(map(ord, LETTERS[0]), LETTERS[1], strict=True))
+    table |= {cp: chr(cp - 0xFEE0) for cp in range(0xFF01, 0xFF5F)}
+    table |= dict.fromkeys(map(ord, HYPHENS), "-")
+    for cp in (*range(0x80, 0x10000), *range(0xE0000, 0xE0080), 0x110BD, 0x110CD, *range(0x1D173, 0x1D17B)):
+        if unicodedata.category(chr(cp)) in ("Cf", "Zs"):
+            table[cp] = " " if unicodedata.category(chr(cp)) == "Zs" else None
+    table |= {cp: None for cp in (*range(1, 9), *range(0xE, 0x1C), *range(0x7F, 0x85), *range(0x86, 0xA0), *map(ord, FILLERS), *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))}
+    return table | {ord(BRAILLE_BLANK): " "}
+
+
+LOOKALIKE = _table()
+PLAIN = LOOKALIKE | dict.fromkeys(map(ord, BRACKETS + "!?！？［］｛｝（）＜＞")) | {ord(a): b for a, b in zip(*LOWERED, strict=True)}
 
 CORPUS = "golden_corpus_v2_prefilt"
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -57,6 +80,8 @@ ORACLE: dict[str, str] = {
       select 'independent' as split, a as test_id, b as row_id from one where share >= 0.75 union all select 'newtest', a, b from two where share >= 0.75""",
     "p2_found": f"with {_TERMS} select term, mark from m where mark is not null",
     "p2_counts": f"with {_TERMS} select * from m",
+    "p2_changes": f"""with f as (select row_id, case when edited_at >= timestamp '2024-01-01' then translation else transliteration end as x from {CORPUS} where genre is not null),
+      t as (select row_id, unnest({pieces(one_form('x'))}) as term from f where x <> '') select term, count(*) as occurrences, count(distinct row_id) as records from t group by term""",
     "p3_found": f"""with recursive w as (select distinct id_written, {tablet('id_written')} as id from (select oare_id as id_written from {CORPUS} union select doc_id from sentence_pairs) where id_written is not null and trim(id_written) <> ''),
       e as (select {tablet('left_id')} as a, {tablet('right_id')} as b from tablet_joins where left_id is not null and right_id is not null), s as (select a, b from e union select b, a from e),
       r(id, other) as (select distinct a, a from s union select r.id, s.b from r join s on s.a = r.other), g as (select id, min(other) as grp from r group by id),
@@ -69,6 +94,8 @@ ORACLE: dict[str, str] = {
       select a as row_id_a, b as row_id_b from f1 union select a, b from f2""",
     "p5_found": f"""with f as (select row_id, transliteration as x, {one_form('transliteration')} as f from {CORPUS} where transliteration <> '')
       select a.row_id as row_id_a, b.row_id as row_id_b from f a join f b on a.f = b.f and a.row_id < b.row_id and a.x <> b.x""",
+    "p5_groups": f"""with f as (select row_id, transliteration as x, {one_form('transliteration')} as f from {CORPUS} where transliteration <> ''),
+      g as (select f, min(row_id) as class_id, count(distinct x) as forms, count(*) as rows from f group by f having count(distinct x) > 1) select row_id, class_id, forms, rows from f join g using (f)""",
     "p5_one_form": f"select row_id, {one_form('transliteration')} as one_form from {CORPUS}",
     "p9_found": """with t as (select doc_id, text from documents where length(text) >= 300), s as (select distinct doc_id, hash(substring(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from t)),
       m as (select h from s group by h having count(*) > 1), k as (select s.* from s join m using (h))

@@ -55,6 +55,22 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _term_counts(spark, folder).marked()
 
 
+def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts after a first delivery, then one change set: rows without a genre deleted, the text of rows edited in
+    2024 or later replaced by their translation, rows that came in after the first delivery added."""
+    from kalamos.llm.termcounts import TermCounts, signed
+
+    corpus = table(spark, folder, CORPUS).select("transliteration", "translation", "genre", "edited_at", "ingested_at")
+    counts = TermCounts(spark)
+    early = F.coalesce(F.col("ingested_at") < F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(True))
+    counts.apply(signed(None, corpus.where(early), "transliteration"))
+    gone, edited = F.col("genre").isNull(), F.coalesce(F.col("edited_at") >= F.lit("2024-01-01").cast("timestamp_ntz"), F.lit(False))
+    now = corpus.where(~gone).select(F.when(edited, F.col("translation")).otherwise(F.col("transliteration")).alias("transliteration"), early.alias("early"), edited.alias("edited"))
+    counts = TermCounts(spark, counts.path)  # another session would open the table the same way
+    counts.apply(signed(corpus.where(early & (gone | edited)), now.where("edited or not early"), "transliteration"))
+    return counts.counts()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from kalamos.llm.groups import tablet_groups
     from kalamos.llm.work import written
@@ -93,6 +109,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_pairs(table(spark, folder, CORPUS), "row_id", "transliteration").toDF("row_id_a", "row_id_b")
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from kalamos.llm.alike import alike_groups
+
+    return alike_groups(table(spark, folder, CORPUS), "row_id", "transliteration").toDF("row_id", "class_id", "forms", "rows")
+
+
 def p5_one_form(spark: SparkSession, folder: str) -> DataFrame:
     from kalamos.llm.alike import to_one_form
 
@@ -147,4 +169,4 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_splits, p4_found, p4_groups, p5_found, p5_one_form, p6_found, p6_scores, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p2_changes, p3_found, p3_splits, p4_found, p4_groups, p5_found, p5_groups, p5_one_form, p6_found, p6_scores, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}

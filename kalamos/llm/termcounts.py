@@ -14,6 +14,7 @@ that fall to zero leave the table.  Repeated records all count.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalamos.llm.lookalike import one_form
-from kalamos.llm.work import shared_folder
+from kalamos.llm.work import new_place, written
 
-REMEMBERED = 500_000
+REMEMBERED, PER_BUCKET = 500_000, 100_000
 RECORDS = ""  # the row that counts the records themselves; no term is empty
 
 
@@ -73,44 +74,66 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """Counts kept in ``path``/<version>/bucket=<n>; a small list says which version holds each bucket."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16) -> None:
-        self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_folder(spark)}/kalamos/terms-{uuid.uuid4().hex}"
-        self.place: dict[int, str] = {}
+    """Counts in ``path``: folders of buckets of terms, and a list of versions that says which folder holds which.
+
+    Opening a path continues what lies there, in whatever process it was written.  A merge writes new folders and then,
+    in one file, the next version of the list; a run that fails before that changes nothing.  A new table gets as many
+    buckets as its first change set has ``PER_BUCKET`` terms, at least one."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.path = path or new_place(spark, "terms")
+        self.buckets, self.version, self.place = buckets, 0, {}
+        held = sorted(p for p in self._names(f"{self.path}/versions") if p.isdigit())
+        if held:
+            self.version = int(held[-1])
+            state = json.loads(self.spark.read.text(f"{self.path}/versions/{held[-1]}", wholetext=True).first()[0])
+            self.buckets, self.place = state["buckets"], {int(b): f for b, f in state["place"].items()}
 
     def _read(self, places: dict[int, str]) -> DataFrame | None:
         if not places:
             return None
-        folders = [f"{folder}/bucket={bucket}" for bucket, folder in sorted(places.items())]
+        folders = [f"{self.path}/{folder}/bucket={bucket}" for bucket, folder in sorted(places.items())]
         return self.spark.read.schema("term string, occurrences long, records long").parquet(*folders)
 
     def apply(self, changes: DataFrame) -> None:
         """Merge a change set.  Only buckets with a changed term are read and written again."""
-        folder = f"{self.path}/{uuid.uuid4().hex}"
+        change = written(deltas(changes), "delta")
+        if self.buckets is None:
+            self.buckets = max(1, -(-change.count() // PER_BUCKET))
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        change = deltas(changes)
-        if self.place:
-            from kalamos.llm.work import written
-
-            change = written(change, "delta")
-            touched = {r[0] for r in change.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` rows
-            held = self._read({b: f for b, f in self.place.items() if b in touched})
-            if held is not None:
-                change = held.unionAll(change).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-            # one file per bucket: a bucket without remaining terms must still replace the old one
-        else:
-            touched = set(range(self.buckets))
+        touched = {r[0] for r in change.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` rows
+        held = self._read({b: f for b, f in self.place.items() if b in touched})
+        if held is not None:
+            change = held.unionAll(change).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        # one file per bucket: a bucket without remaining terms must still replace the old one
+        folder = uuid.uuid4().hex
         kept = change.where("records > 0").withColumn("bucket", bucket).repartition(self.buckets, "bucket")
-        kept.write.partitionBy("bucket").parquet(folder)
-        there = {int(p.getPath().getName().split("=")[1]) for p in self._list(folder) if "=" in p.getPath().getName()}
+        kept.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        there = {int(n.split("=")[1]) for n in self._names(f"{self.path}/{folder}") if "=" in n}
         self.place = {b: f for b, f in self.place.items() if b not in touched} | dict.fromkeys(there, folder)
-
-    def _list(self, folder: str) -> list:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        return list(path.getFileSystem(conf).listStatus(path))
+        self._commit()
+
+    def _commit(self) -> None:
+        """The next version of the list, complete or not there at all."""
+        self.version += 1
+        state = json.dumps({"buckets": self.buckets, "place": self.place})
+        files, path = self._files(f"{self.path}/versions")
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        unfinished, name = jvm.Path(path, f".{uuid.uuid4().hex}"), jvm.Path(path, f"{self.version:012d}")
+        out = files.create(unfinished, True)
+        out.write(bytearray(state.encode("utf-8")))
+        out.close()
+        if files.exists(name) or not files.rename(unfinished, name):
+            raise RuntimeError(f"another process has written version {self.version} of {self.path}")
+
+    def _files(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        files, path = self._files(folder)
+        return [p.getPath().getName() for p in files.listStatus(path)] if files.exists(path) else []
 
     def _all(self) -> DataFrame:
         found = self._read(self.place)

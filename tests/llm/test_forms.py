@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from kalamos.llm.alike import alike_pairs, to_one_form
+from kalamos.llm.alike import alike_groups, alike_pairs, to_one_form
 from kalamos.llm.lookalike import one_form, plain_words, skeleton
 from kalamos.llm.termcounts import TermCounts, signed
 from kalamos.llm.words import WordHashes, bags, signatures, sketches
@@ -30,6 +30,26 @@ def test_skeleton():
     assert skeleton(skeleton("Ａ̀ｋ")) == skeleton("Ａ̀ｋ")
 
 
+def test_look_alikes_of_any_script():
+    pairs = ["𝐚a", "ρp", "αa", "ⅼl", "ᎪA", "ⲟo", "סo", "ıi", "Ӏl", "ƽs", "ГΓ", "𝟎0", "ⅿm", "ΙI", "ІI", "ӏl", "ｱア"]
+    assert all(skeleton(p[0]) == skeleton(p[1]) for p in pairs)
+    assert skeleton("ﬁ") == "fi" and skeleton("Ⅳ") == "IV" and skeleton("ｶﾞ") == skeleton("ガ")
+    kept = "lI10Oom|ʾʿ×ₓ₄ʼŁøßþ⁴½①ΛΔΨЖ"
+    assert len({skeleton(c) for c in kept}) == len(kept) and all(one_form(c) == c for c in kept)
+    from kalamos.llm.lookalike import LOOKALIKE, confusables
+
+    assert len(confusables()) > 5000 and confusables("/nowhere") == {}
+    assert all(skeleton(skeleton(chr(c))) == skeleton(chr(c)) for c in LOOKALIKE)
+
+
+def test_alike_groups(spark):
+    rows = [(1, "šu-ma"), (2, "šu‐ma"), (3, "šu-ma"), (4, "ŠU"), (5, None), (6, ""), (7, "a"), (8, "а")]
+    df = with_clashes(spark.createDataFrame(rows, "row_id long, t string"))
+    got = {tuple(r) for r in alike_groups(df, "row_id", "t").collect()}
+    assert got == {(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3), (7, 7, 2, 2), (8, 7, 2, 2)}
+    assert alike_groups(df.where("false"), "row_id", "t").count() == 0
+
+
 def test_plain_words():
     assert plain_words('[Ma-àk₄]! x? "the... ＡＢ － 1/2. ‹a›-na ˹{d}utu˺') == ["ma-àk4", "x", "the", "ab", "1/2", "a-na", "dutu"]
     assert plain_words(None) == plain_words("") == plain_words("... !? —") == []
@@ -107,3 +127,19 @@ def test_marks(spark):
     empty = TermCounts(spark)
     empty.apply(signed(None, spark.createDataFrame([(None,), ("",)], "t string"), "t"))
     assert empty.marked().count() == 0 and empty.records() == 0
+
+
+def test_a_second_process_continues_the_table(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    path = str(tmp_path / "terms")
+    make = "from pyspark.sql import SparkSession; from kalamos.llm.termcounts import TermCounts, signed; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
+    first = make + f"c = TermCounts(s, {path!r}); c.apply(signed(None, s.createDataFrame([('a b a',), ('b c',)], 't string'), 't'))"
+    subprocess.run([sys.executable, "-c", first], check=True, env=os.environ, timeout=200, capture_output=True)
+    again = TermCounts(spark, path)
+    assert stored(again) == {"a": (2, 1), "b": (2, 2), "c": (1, 1)} and again.records() == 2
+    text = lambda *t: spark.createDataFrame([(x,) for x in t], "t string")
+    again.apply(signed(text("b c"), text("d", "a"), "t"))
+    assert stored(TermCounts(spark, path)) == {"a": (3, 2), "b": (1, 1), "d": (1, 1)} and TermCounts(spark, path).version == 2
