@@ -100,6 +100,11 @@ def sketches(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ((size << _U(48)) | per_row(np.bitwise_xor, bit, offsets, 0)).view(np.int64)
 
 
+def parities(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A second parity sketch, of 64 other bits and without the size."""
+    return per_row(np.bitwise_xor, _U(1) << (mix(tokens ^ (_GOLD << _U(1))) >> _U(58)), offsets, 0).view(np.int64)
+
+
 def sketch_condition(one: str, other: str, share: float) -> str:
     """SQL: the two sketches do not prove the common share to be below ``share``."""
     most = f"{1 - share} * (shiftright({one}, 48) + shiftright({other}, 48)) + 1e-9"
