@@ -60,7 +60,7 @@ def run(args: argparse.Namespace, rest: list[str]) -> int:
         train = readers.read_prepared(spark, args.train)
         tests = {"primary": readers.read_prepared(spark, args.primary_test), "secondary": readers.read_prepared(spark, args.secondary_test)}
         held = readers.read_ids(spark, args.holdout, strict=True) if args.holdout else None
-        variants.write_variants(variants.all_variants(train, tests, held, "ordinal"), args.out)
+        variants.write_variants(variants.all_variants(train, tests, held, "ordinal"), args.out, sinks.write_json)
     elif args.command == "holdout-union":
         sinks.write_id_union(args.out, *(readers.read_ids(spark, p, strict=not args.allow_missing) for p in args.lists))
     elif args.command == "subsets":

@@ -15,6 +15,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,8 +181,6 @@ def hashed_draws(rows: DataFrame, key: str, rounds: int, seed: int, count: int)
 
 def numpy_draws(spark, count: int, rounds: int = 2000, seed: int = 12345) -> DataFrame:
     """The draws of NumPy's default generator; both systems use the same.  For counts that fit the driver."""
-    import numpy as np
-
     if count * rounds > 50_000_000:
         raise ValueError("too many draws for the driver: use hashed draws")
     rng = np.random.default_rng(seed)
@@ -192,12 +191,47 @@ def numpy_draws(spark, count: int, rounds: int = 2000, seed: int = 12345) -> Dat
     return spark.createDataFrame(pa.concat_tables(rows))
 
 
+def _weighted_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of both systems' statistics under the weights of every round, one row a round and task: a matrix product."""
+    total = np.zeros((0, 2 * len(STATISTICS)))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        matrix = np.hstack([batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("one", "two")]).astype(float)
+        rounds, offsets = batch.column("rounds").flatten().to_numpy(), np.append(0, np.cumsum(batch.column("rounds").value_lengths().to_numpy()))
+        weight = batch.column("weights").flatten().to_numpy()
+        size = max(len(total), int(rounds.max()) + 1)
+        drawn = np.zeros((size, batch.num_rows))
+        drawn[rounds, np.repeat(np.arange(batch.num_rows), np.diff(offsets))] = weight
+        sums = drawn @ matrix
+        sums[: len(total)] += total
+        total = sums
+    some = np.flatnonzero(total.any(axis=1))
+    n = len(STATISTICS)
+    sides = [pa.FixedSizeListArray.from_arrays(pa.array(total[some][:, k : k + n].astype(np.int64).ravel()), n).cast(pa.list_(pa.int64())) for k in (0, n)]
+    yield pa.RecordBatch.from_arrays([pa.array(some), *sides], names=["resample", "one", "two"])
+
+
+def resampled(stats: DataFrame, draws: DataFrame, key: str, system: str, one: str, two: str) -> DataFrame:
+    """``resample, system`` and the statistics summed under the draws' weights.
+
+    The draws of a row are gathered once (about as many as there are rounds), and each task multiplies its rows'
+    statistics by their weights in all rounds, so what is shuffled is one row a round and task."""
+    side = lambda name, to: stats.where(F.col(system) == name).select(key, F.array(*STATISTICS).alias(to))
+    lists = draws.groupBy(key).agg(F.collect_list(F.struct("resample", "weight")).alias("d"))
+    lists = lists.select(key, F.col("d.resample").alias("rounds"), F.col("d.weight").alias("weights"))
+    rows = side(one, "one").join(side(two, "two"), key).join(lists, key).select("one", "two", "rounds", "weights")
+    sums = rows.mapInArrow(_weighted_sums, "resample long, one array<long>, two array<long>")
+    both = sums.select("resample", F.lit(one).alias(system), F.col("one").alias("s")).unionAll(sums.select("resample", F.lit(two).alias(system), F.col("two").alias("s")))
+    return both.groupBy("resample", system).agg(*(F.sum(F.get("s", F.lit(k))).alias(name) for k, name in enumerate(STATISTICS)))
+
+
 def paired_bootstrap(stats: DataFrame, draws: DataFrame, key: str, system: str, one: str, two: str) -> DataFrame:
     """One row: both observed scores, their difference, its 95 % interval and sign-flip share over the resamples.
 
     ``stats`` holds both systems' statistics per row key.  Instead of scoring every resample's sentences again, the
     statistics are summed under the draws' weights."""
-    weighted = draws.join(stats, key).groupBy("resample", system).agg(*(F.sum(F.col(s) * F.col("weight")).alias(s) for s in STATISTICS))
+    weighted = resampled(stats, draws, key, system, one, two)
     side = lambda df, name: df.where(F.col(system) == name).select(*([] if df is seen else ["resample"]), F.col("combined").alias(name))
     seen = corpus_scores(stats, system)
     rounds = scored(weighted)

@@ -80,6 +80,28 @@ def example_table(df: DataFrame, categories: dict[str, tuple[Column | None, list
     return reduce(DataFrame.unionAll, sides)
 
 
+# The scores, genres and lengths that make a sentence an example of its category.
+READABLE = {"transliteration": (20, 200), "translation": (15, 200)}
+FORMULAIC, LETTERS = ("debt-note", "memo"), ("letter",)
+HIGH, VERY_HIGH, LOW, CHANGE = 40, 50, 15, 5
+
+
+def contrasts(key: str, genre: str, full: str, other: str, part: str, small: str, small_changed: str, full_changed: str) -> dict[str, tuple[Column, list[Column]]]:
+    """The categories of a comparison of systems, for :func:`example_table`; the arguments but the first two name score
+    columns.  Where one system is far ahead, where a change helps the small system and harms the full one, formulaic
+    texts that succeed, letters that fail, and what more data brings.  Equal rows stand in the order of the key."""
+    c = F.col
+    gain, loss = c(small_changed) - c(small), c(full_changed) - c(full)
+    first = lambda order: [order, F.asc(key)]
+    return {
+        "system_gap": (c(full) > HIGH, first(F.desc(F.round(c(full) - c(other), 6)))),
+        "change_by_size": ((gain > CHANGE) & (loss < -CHANGE), first(F.desc(F.round(gain - loss, 6)))),
+        "formulaic_success": (c(genre).isin(*FORMULAIC), first(c(full).desc())),
+        "letter_failure": (c(genre).isin(*LETTERS) & (c(full) > LOW) & (c(full) < HIGH), first(c(full).asc())),
+        "more_data": (c(full) > VERY_HIGH, first(F.desc(F.round(c(full) - c(part), 6)))),
+    }
+
+
 def seed_curves(runs: DataFrame, value: str, point: str, *by: str) -> DataFrame:
     """Mean and spread along a scale (share of documents, learning rate, ...), with the single runs' least and most."""
     return runs.groupBy(*by, point).agg(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalamos.functions import text as T
 from kalamos.operators.retrieval import nearest
 from kalamos.operators.rows import document_column, exclude_documents
+from kalamos.session import written
 
 # The names of the retrieval formats and how many bytes of source and translation they take.
 RETRIEVAL_FORMATS = {"retrieval_augmented": (160, 220), "retrieval_compact": (96, 96), "retrieval_source_only": (160, None)}
@@ -73,12 +71,12 @@ def formatted(df: DataFrame, source_bytes: int, translation_bytes: int | None) -
 
 def retrieval_augmented(train: DataFrame, evals: dict[str, DataFrame], held_out: DataFrame | None, key: str, formats: dict[str, tuple[int, int | None]] | None = None, **grams) -> dict[str, dict[str, DataFrame]]:
     """Per format and split the augmented rows.  The bank is the training set without held-out documents; neighbours
-    are searched once per split and formatted as often as asked."""
+    are searched once per split, written, and formatted as often as asked."""
     bank = exclude_documents(train, held_out) if held_out is not None else train
     if bank.isEmpty():
         raise ValueError("the retrieval bank is empty after hold-out removal")
-    splits = {"train": with_neighbours(train, bank, key, True, True, **grams)}
-    splits |= {name: with_neighbours(df, bank, key, False, True, **grams) for name, df in evals.items()}
+    splits = {"train": written(with_neighbours(train, bank, key, True, True, **grams), "neighbours")}
+    splits |= {name: written(with_neighbours(df, bank, key, False, True, **grams), "neighbours") for name, df in evals.items()}
     formats = formats or RETRIEVAL_FORMATS
     return {name: {split: formatted(df, *sizes) for split, df in splits.items()} for name, sizes in formats.items()}
 
@@ -95,8 +93,9 @@ def source_bytes(df: DataFrame, column: str = "transliteration") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.floor(F.percentile(size, F.lit(0.95))).cast("long").alias("p95"), F.max(size).cast("long").alias("most"))
 
 
-def write_variants(variants: dict[str, dict[str, DataFrame]], folder: str) -> dict[str, dict]:
-    """One CSV folder per variant and split, and ``manifest.json`` with counts and lengths."""
+def write_variants(variants: dict[str, dict[str, DataFrame]], folder: str, write_json) -> dict[str, dict]:
+    """One CSV folder per variant and split, and ``manifest.json`` with counts and lengths, written by
+    ``write_json(path, value)``."""
     manifest: dict[str, dict] = {}
     for name, splits in variants.items():
         files = {}
@@ -105,5 +104,5 @@ def write_variants(variants: dict[str, dict[str, DataFrame]], folder: str) -> di
             df.write.mode("overwrite").option("header", True).option("escape", '"').csv(files[split])
         row = source_bytes(splits["train"]).first()
         manifest[name] = {f"{split}_rows": df.count() for split, df in splits.items()} | {"train_source_bytes_p95": row["p95"], "train_source_bytes_max": row["most"], "files": files}
-    Path(folder, "manifest.json").write_text(json.dumps(manifest, indent=2, sort_keys=True), encoding="utf-8")
+    write_json(f"{folder}/manifest.json", manifest)
     return manifest

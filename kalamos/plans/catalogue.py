@@ -12,7 +12,8 @@ from kalamos.operators import batching, history, lexicon, metrics, rows, runs, s
 from kalamos.operators.retrieval import nearest
 from kalamos.plans import pipeline
 from kalamos.plans import sql_text as S
-from kalamos.session import spread
+from kalamos.session import new_folder, spread
+from kalamos.sources import readers, sinks
 
 FLAGSHIP = "tfidf_1nn"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,16 +143,35 @@ def genre_conditioning(spark, folder):
     rf"""with t as (select distinct unnest({S.words('transliteration')}) as token from {CORPUS}),
     d as (select token, cast(token as decimal(18, 6)) as x from t where regexp_matches(token, '^[0-9]+\.[0-9]+$')),
     c as (select token, x, q, cast(round(x * q) as bigint) as p from d, range(1, 13) r(q)),
-    b as (select token, p, q from (select *, row_number() over (partition by token order by abs(cast(x as double) - p::double / q), q) as n from c) where n = 1 and p > 0)
-    select token, case when p % q = 0 then cast(p // q as varchar) when p < q then p || '_' || q else (p // q) || '_' || (p % q) || '_' || q end as tag from b"""
+    b as (select token, p, q from (select *, row_number() over (partition by token order by abs(cast(x as double) - p::double / q), q) as n from c) where n = 1 and p > 0),
+    f as (select token, p // gcd(p, q) as p, q // gcd(p, q) as q from (select token, cast(split_part(token, '/', 1) as bigint) as p, cast(split_part(token, '/', 2) as bigint) as q from t where regexp_matches(token, '^[0-9]{{1,12}}/[0-9]{{1,12}}$')) where p > 0 and q > 0)
+    select token, case when p % q = 0 then cast(p // q as varchar) when p < q then p || '_' || q else (p // q) || '_' || (p % q) || '_' || q end as tag from (select token, p, q from b union all select token, p, q from f where q <= 12)"""
 )
 def numeral_tags(spark, folder):
-    tokens = table(spark, folder, CORPUS).select(F.explode(T.words(F.col("transliteration"))).alias("token")).where(r"token rlike '^[0-9]+\\.[0-9]+$'").distinct()
+    tokens = table(spark, folder, CORPUS).select(F.explode(T.words(F.col("transliteration"))).alias("token")).where(r"token rlike '^[0-9]+\\.[0-9]+$' or token rlike '^[0-9]{1,12}/[0-9]{1,12}$'").distinct()
     said = tokens.select("token", T.annotate_numbers(F.col("token")).alias("a"))
     return said.select("token", F.regexp_extract("a", "num_value_(.*)$", 1).alias("tag")).where("tag <> ''")
 
 
-@query()
+def _tagged(x: str) -> str:
+    """``w`` with each word of a number followed by its tag (``tags`` holds the words that have one)."""
+    return f"""t as (select row_id, {S.words(x)} as w from {CORPUS}), e as (select row_id, unnest(w) as token, unnest(range(1, len(w) + 1)) as k from t), j as (select row_id, k, token, tag from e left join tags using (token)),
+    said as (select row_id, string_agg(case when tag is null then token else token || ' num_value_' || tag end, ' ' order by k) as transliteration, cast(count(tag) as int) as numeral_annotation_count from j group by row_id)
+    select c.row_id, coalesce(said.transliteration, '') as transliteration, coalesce(numeral_annotation_count, 0) as numeral_annotation_count from {CORPUS} c left join said using (row_id)"""
+
+
+def _tags(x: str) -> str:
+    return rf"""t0 as (select distinct unnest({S.words(x)}) as token from {CORPUS}),
+    d as (select token, cast(token as decimal(18, 6)) as x from t0 where regexp_matches(token, '^[0-9]+\.[0-9]+$')), c as (select token, x, q, cast(round(x * q) as bigint) as p from d, range(1, 13) r(q)),
+    b as (select token, p, q from (select *, row_number() over (partition by token order by abs(cast(x as double) - p::double / q), q) as n from c) where n = 1 and p > 0),
+    f as (select token, p // gcd(p, q) as p, q // gcd(p, q) as q from (select token, cast(split_part(token, '/', 1) as bigint) as p, cast(split_part(token, '/', 2) as bigint) as q from t0 where regexp_matches(token, '^[0-9]{{1,12}}/[0-9]{{1,12}}$')) where p > 0 and q > 0),
+    tags as (select token, case when p % q = 0 then cast(p // q as varchar) when p < q then p || '_' || q else (p // q) || '_' || (p % q) || '_' || q end as tag from (select token, p, q from b union all select token, p, q from f where q <= 12))"""
+
+
+_NAN = "coalesce(transliteration, 'nan')"
+
+
+@query(f"with {_tags(S.normalize(_NAN))}, {_tagged(S.normalize(_NAN))}")
 def numeral_annotation(spark, folder):
     return variants.numeral_normalized(table(spark, folder, CORPUS)).select("row_id", "transliteration", "numeral_annotation_count")
 
@@ -162,7 +182,12 @@ def postprocess_output(spark, folder):
     return table(spark, folder, CORPUS).where("translation is not null").select("row_id", T.postprocess_translation(said).alias("text"))
 
 
-@query()
+def _cut(x: str, n: int) -> str:
+    """The longest prefix of whole characters within ``n`` bytes, stripped if it is not everything."""
+    return f"case when strlen({x}) <= {n} then {x} else {S.strip(f'left({x}, cast(list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left({x}, k)) <= {n})) as integer))')} end"
+
+
+@query(f"select row_id, {', '.join(f'{_cut(chr(34) + 'transliteration' + chr(34), n)} as b{n}' for n in (96, 160, 220))} from {CORPUS}")
 def utf8_truncation(spark, folder):
     return table(spark, folder, CORPUS).select("row_id", *(T.utf8_truncate(F.col("transliteration"), n).alias(f"b{n}") for n in (96, 160, 220)))
 
@@ -176,7 +201,7 @@ def variant_manifest(spark, folder):
 
 _DOCS = """docs as (select doc_id as oare_id, string_agg(transliteration, ' ' order by sentence_idx, pair_id) as transliteration, string_agg(translation, ' ' order by sentence_idx, pair_id) as translation
     from sentence_pairs where doc_id is not null group by doc_id)"""
-_ANCHORS = f"""anchors as (select doc_id as text_uuid, word_start + 1 as n, {S.words('transliteration')}[1] as spelling, translation, pair_id as o from sentence_pairs where word_start is not null and pair_id % 7 <> 0)"""
+_ANCHORS = f"""anchors as (select doc_id as text_uuid, word_start + 1 as n, {S.words('transliteration')}[1] as spelling, translation, pair_id as o from sentence_pairs where word_start is not null)"""
 _SPANS = f"""spans as (select array_to_string(words[s + 1:e], ' ') as transliteration, {S.strip('translation')} as translation, doc_id, cast(idx as int) as sentence_idx,
       coalesce(a <> '' and b <> '' and (a = b or translate(a, '₀₁₂₃₄₅₆₇₈₉ₓ', '0123456789x') = translate(b, '₀₁₂₃₄₅₆₇₈₉ₓ', '0123456789x') or starts_with(a, b) or starts_with(b, a)), false) as anchor_valid, cast(s as int) as word_start, cast(e as int) as word_end
     from (select p.*, d.words, coalesce(nxt, len(d.words)) as e, lower({S.strip('d.words[s + 1]')}) as a, lower({S.strip('p.spelling')}) as b from
@@ -192,7 +217,7 @@ def _documents(spark, folder):
     docs = p.where("doc_id is not null").groupBy(F.col("doc_id").alias("oare_id")).agg(line("transliteration").alias("transliteration"), line("translation").alias("translation"))
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     docs = docs.select("oare_id", some("transliteration").alias("transliteration"), some("translation").alias("translation"), F.lit(0).alias("ordinal"))
-    anchors = p.where("word_start is not null and pair_id % 7 <> 0").select(
+    anchors = p.where("word_start is not null").select(
         F.col("doc_id").alias("text_uuid"), (F.col("word_start") + 1).alias("first_word_number"), F.get(T.words(F.col("transliteration")), F.lit(0)).alias("first_word_spelling"), "translation", F.col("pair_id").alias("ordinal")
     )
     return docs, anchors
@@ -204,23 +229,27 @@ def sentence_spans(spark, folder):
 
 
 @query(
-    f"""with {_DOCS}, all_{_ANCHORS}, anchors as (select * from all_anchors where length(text_uuid) % 2 = 0 and substring(text_uuid, 1, 1) < '8'), {_SPANS}
+    f"""with {_DOCS}, {_ANCHORS}, {_SPANS}
     select transliteration, translation, doc_id, sentence_idx, anchor_valid, word_start, word_end, 'sentence' as data_type from spans where anchor_valid union all
     select transliteration, translation, oare_id, null, null, null, null, 'document' from docs where oare_id not in (select text_uuid from anchors where text_uuid is not null) and {S.strip('transliteration')} <> '' and {S.strip('translation')} <> ''"""
 )
 def mixed_rows(spark, folder):
-    docs, anchors = _documents(spark, folder)
-    return spans.mixed_rows(docs, anchors.where("length(text_uuid) % 2 = 0 and substring(text_uuid, 1, 1) < '8'"))
+    return spans.mixed_rows(*_documents(spark, folder))
+
+
+_KNOWN = f"(select oare_id from {CORPUS} where oare_id is not null)"
 
 
 @query(
-    f"""with all_{_DOCS}, {_ANCHORS}, docs as (select * from all_docs where substring(oare_id, 1, 1) < '8' or oare_id not in (select doc_id from independent_test_set_clean where doc_id is not null)), {_SPANS}
-    select *, case when substring(doc_id, 1, 1) < '8' then 'train' else 'published' end as source from spans"""
+    f"""with all_{_DOCS}, {_ANCHORS}, docs as (select * from all_docs where oare_id in {_KNOWN} or oare_id not in (select doc_id from independent_test_set_clean where doc_id is not null)), {_SPANS}
+    select *, case when doc_id in {_KNOWN} then 'train' else 'published' end as source from spans"""
 )
 def extended_rows(spark, folder):
+    """Documents that the corpus knows are the training ones, the others the published ones."""
     docs, anchors = _documents(spark, folder)
+    known = table(spark, folder, CORPUS).select("oare_id").where("oare_id is not null").distinct()
     held = table(spark, folder, "independent_test_set_clean").select("doc_id").where("doc_id is not null")
-    return spans.extended_rows(docs.where("substring(oare_id, 1, 1) < '8'"), anchors, docs.where("substring(oare_id, 1, 1) >= '8'").drop("translation"), held)
+    return spans.extended_rows(docs.join(known, "oare_id", "left_semi"), anchors, docs.join(known, "oare_id", "left_anti").drop("translation"), held)
 
 
 @query(
@@ -303,9 +332,10 @@ def gloss_augment(spark, folder):
 # --- retrieval ---------------------------------------------------------------
 
 
-def _tfidf(bank: str, asked: str, same: bool, n: int | None = None) -> str:
+def _tfidf(bank: str, asked: str, same: bool, by_word: bool = False) -> str:
     text = lambda x: S.sub(x, f"{S.WS}{{2,}}", " ")
-    grams = lambda t: " union all ".join(f"select id, unnest({S.char_grams('t', k)}) as g from {t}" for k in (3, 4, 5))
+    of = lambda t: f"(select id, ' ' || unnest({S.words('t')}) || ' ' as t from {t})" if by_word else t
+    grams = lambda t: " union all ".join(f"select id, unnest({S.char_grams('t', k)}) as g from {of(t)}" for k in (3, 4, 5))
     return f"""with bank as ({bank.format(text=text)}), asked as ({asked.format(text=text)}),
     btf as (select id, g, count(*) as tf from ({grams('bank')}) group by id, g), qtf as (select id, g, count(*) as tf from ({grams('asked')}) group by id, g),
     n as (select count(*) as n, min(id) as one from bank), idf as (select g, ln((1 + n) / (1.0 + count(*))) + 1 as idf from btf, n group by g, n),
@@ -333,6 +363,13 @@ def tfidf_1nn(spark, folder):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(_tfidf(_BANK, _SELF, False, True))
+def tfidf_within_words(spark, folder):
+    bank = rows.complete_pairs(table(spark, folder, CORPUS))
+    found = nearest(table(spark, folder, "new_test_set"), bank, "test_id", "transliteration", "row_id", "transliteration", analyzer="char_wb")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(_tfidf(_SELF, _SELF, True))
 def tfidf_self_nn(spark, folder):
     t = table(spark, folder, "new_test_set")
@@ -352,16 +389,22 @@ def retrieval_variants(spark, folder):
 
 @query()
 def retrieval_baseline_scores(spark, folder):
-    train = pipeline.normalised(rows.complete_pairs(table(spark, folder, CORPUS)), pipeline_defaults())
-    train = rows.visible_pairs(train)
-    test = pipeline.normalised(table(spark, folder, "new_test_set"), pipeline_defaults())
-    return pipeline.evaluate(pipeline.predict_nearest(train, test, "row_id", "test_id"))
-
-
-def pipeline_defaults():
+    """The whole load pipeline of training rows (hold-outs, complete pairs, quality, normalisation, visible pairs), its
+    rows as the bank, and both test sets."""
+    data = pipeline_defaults(filter_quality=True)
+    train = pipeline.prepare(table(spark, folder, CORPUS), spark, data, holdout_union(spark, folder))
+    both = None
+    for name in ("independent_test_set_clean", "new_test_set"):
+        test = table(spark, folder, name).select("test_id", "transliteration", "translation", F.lit(name).alias("test_set"))
+        both = test if both is None else both.unionAll(test)
+    said = pipeline.predict_nearest(train, pipeline.normalised(both, data), "row_id", "test_id")
+    return pipeline.evaluate(said, "translation", "test_set")
+
+
+def pipeline_defaults(**given):
     from kalamos.sources.config import DataConfig
 
-    return DataConfig()
+    return DataConfig(**given)
 
 
 # --- metrics -----------------------------------------------------------------
@@ -376,19 +419,26 @@ def _predictions(spark, folder):
     return t.join(nxt, "id", "left").select("id", F.coalesce("translation", F.lit("")).alias("translation"), F.coalesce("prediction", F.lit("")).alias("prediction"))
 
 
-def _stat_sql() -> str:
+def _stat_sql(pairs: str = _PAIRS) -> str:
+    """Tables ``s`` (per pair and kind of n-gram: counts of both sides and common ones) and ``l`` (token counts)."""
     parts = []
     for fam, orders, unit in (("b", range(1, 5), "tok"), ("c", range(1, 7), "chr"), ("w", range(1, 3), "wrd")):
         for n in orders:
             grams = (lambda x, n=n, unit=unit: S.char_grams(f"{x}_{unit}", n) if unit == "chr" else S.list_grams(f"{x}_{unit}", n))
             for x in ("h", "r"):
                 parts.append(f"select id, '{fam}{n}' as k, '{x}' as side, unnest({grams(x)}) as g from u")
-    return f"""p as ({_PAIRS}), u as (select id, {S.tokens_13a('h')} as h_tok, {S.tokens_13a('r')} as r_tok, {S.sub('h', S.WS + '+', '')} as h_chr, {S.sub('r', S.WS + '+', '')} as r_chr, {S.word_units('h')} as h_wrd, {S.word_units('r')} as r_wrd from p),
+    return f"""p as ({pairs}), u as (select id, {S.tokens_13a('h')} as h_tok, {S.tokens_13a('r')} as r_tok, {S.sub('h', S.WS + '+', '')} as h_chr, {S.sub('r', S.WS + '+', '')} as r_chr, {S.word_units('h')} as h_wrd, {S.word_units('r')} as r_wrd from p),
     g as (select id, k, g, count_if(side = 'h') as nh, count_if(side = 'r') as nr from ({' union all '.join(parts)}) group by id, k, g),
     s as (select id, k, sum(nh) as nh, sum(nr) as nr, sum(least(nh, nr)) as m from g group by id, k),
+    l as (select id, len(h_tok) as hl, len(r_tok) as rl from u),
     totals as (select k, sum(case when nr > 0 or k like 'b%' then nh else 0 end) as nh, sum(nr) as nr, sum(m) as m from s group by k),
-    lens as (select sum(len(h_tok)) as hl, sum(len(r_tok)) as rl from u)"""
+    lens as (select sum(hl) as hl, sum(rl) as rl from l)"""
+
 
+_SENTENCE = """q as (select id, case when m > 0 then 100.0 * m / nh else 100.0 / (pow(2, sum(case when m = 0 then 1 else 0 end) over (partition by id order by k)) * nh) end as p, m from s where k like 'b%' and nh > 0),
+    sb as (select id, case when sum(m) = 0 then 0 else exp(avg(ln(p))) end as raw from q group by id),
+    sc as (select id, avg(m / nh) as p, avg(m / nr) as r from s where k not like 'b%' and nh > 0 and nr > 0 group by id),
+    sentence as (select l.id, coalesce(raw, 0) * case when hl >= rl then 1.0 when hl = 0 then 0.0 else exp(1 - rl / hl) end as bleu, case when 4 * sc.p + sc.r > 0 then 100 * 5 * sc.p * sc.r / (4 * sc.p + sc.r) else 0 end as chrf from l left join sb using (id) left join sc using (id))"""
 
 _BLEU_SQL = """bleu as (select case when count(*) < 4 or sum(m) = 0 then 0 else exp(avg(ln(p))) * any_value(case when hl >= rl then 1.0 else exp(1 - rl / hl) end) end as bleu from
       (select *, case when m > 0 then 100.0 * m / nh else 100.0 / (pow(2, sum(case when m = 0 then 1 else 0 end) over (order by k)) * nh) end as p from totals where k like 'b%' and nh > 0), lens),
@@ -415,33 +465,80 @@ def bleu_stats(spark, folder):
     return sums.select(F.inline(F.array(*(F.struct(F.lit(f"b{n}").alias("k"), F.col(f"total_{n}").alias("total"), F.col(f"match_{n}").alias("matched")) for n in range(1, 5)))))
 
 
-@query()
+@query(f"with {_stat_sql()}, {_SENTENCE} select id, round(bleu, 6) as bleu, round(chrf, 6) as chrf, round(sqrt(bleu * chrf), 6) as combined from sentence")
 def sentence_scores(spark, folder):
-    return metrics.sentence_scores(metrics.statistics(_predictions(spark, folder), "prediction", "translation", "id"))
+    out = metrics.sentence_scores(metrics.statistics(_predictions(spark, folder), "prediction", "translation", "id"))
+    return out.select("id", *(F.round(c, 6).alias(c) for c in ("bleu", "chrf", "combined")))
 
 
-@query()
+_CANDIDATES = f"""t as (select doc_id, {S.strip('translation')} as c, sentence_idx, pair_id from sentence_pairs where doc_id is not null and translation is not null),
+    d as (select doc_id, c, i from (select doc_id, c, row_number() over (partition by doc_id order by o) - 1 as i from (select doc_id, c, min((sentence_idx, pair_id)) as o from t where c <> '' group by doc_id, c)) where i < 32),
+    e as (select a.doc_id || ':' || a.i || ':' || b.i as id, a.doc_id, a.i, a.c as h, b.c as r from d a join d b on a.doc_id = b.doc_id and a.i <> b.i)"""
+
+
+@query(
+    f"""with {_CANDIDATES}, {_stat_sql('select id, h, r from e')}, {_SENTENCE},
+    mean as (select doc_id, i, h, round(avg(chrf), 10) as m from e join sentence using (id) group by doc_id, i, h), best as (select doc_id, h from (select doc_id, h, row_number() over (partition by doc_id order by m desc, i) as n from mean) where n = 1)
+    select doc_id, coalesce(best.h, (select c from d where d.doc_id = k.doc_id and i = 0), '') as picked from (select distinct doc_id from t) k left join best using (doc_id)"""
+)
 def mbr_pick(spark, folder):
     said = table(spark, folder, "sentence_pairs").where("doc_id is not null and translation is not null").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sentence_idx", "pair_id", "translation"))), lambda x: x["translation"]).alias("candidates"))
     return metrics.pick_candidates(said, "doc_id", "candidates")
 
 
-@query()
+_ROUNDS = 2000
+_TWO = """select 'one:' || i as id, h, r from x union all select 'two:' || i, r || ' ' || h, r from x"""
+_CORPUS = """bb as (select resample, sys, k, m, case when m > 0 then 100.0 * m / nh else 100.0 / (pow(2, sum(case when m = 0 then 1 else 0 end) over (partition by resample, sys order by k)) * nh) end as p from sums where k like 'b%' and nh > 0),
+    bleu as (select resample, sys, case when count(*) < 4 or sum(m) = 0 then 0 else exp(avg(ln(p))) end as raw from bb group by resample, sys),
+    chrf as (select resample, sys, avg(m / nh) as p, avg(m / nr) as r from sums where k not like 'b%' and nh > 0 and nr > 0 group by resample, sys),
+    scores as (select resample, sys, sqrt(coalesce(raw, 0) * case when hl >= rl then 1.0 when hl = 0 then 0.0 else exp(1 - rl / hl) end * case when 4 * p + r > 0 then 500 * p * r / (4 * p + r) else 0 end) as v
+      from lsums left join bleu using (resample, sys) left join chrf using (resample, sys))"""
+
+
+@query(
+    f"""with p0 as ({_PAIRS}), x as (select id - (select min(id) from p0) as i, r, h from p0), {_stat_sql(_TWO)},
+    n as (select count(*) as n from x), draws as (select resample, cast(('0x' || substring(md5('12345:' || resample || ':' || i), 1, 12))::bigint % n as bigint) as i from x, n, range(0, {_ROUNDS}) t(resample)),
+    weight as (select resample, i, count(*) as w from draws group by resample, i union all select -1, i, 1 from x),
+    ss as (select split_part(id, ':', 1) as sys, cast(split_part(id, ':', 2) as bigint) as i, k, case when nr > 0 or k like 'b%' then nh else 0 end as nh, nr, m from s),
+    ll as (select split_part(id, ':', 1) as sys, cast(split_part(id, ':', 2) as bigint) as i, hl, rl from l),
+    sums as (select resample, sys, k, sum(w * nh) as nh, sum(w * nr) as nr, sum(w * m) as m from ss join weight using (i) group by resample, sys, k), lsums as (select resample, sys, sum(w * hl) as hl, sum(w * rl) as rl from ll join weight using (i) group by resample, sys),
+    {_CORPUS}, delta as (select a.resample, a.v as one, b.v as two, a.v - b.v as d from scores a join scores b using (resample) where a.sys = 'two' and b.sys = 'one')
+    select round(o.one, 6) as score_one, round(o.two, 6) as score_two, round(o.d, 6) as delta, (select round(quantile_cont(d, 0.025), 6) from delta where resample >= 0) as ci_low, (select round(quantile_cont(d, 0.975), 6) from delta where resample >= 0) as ci_high,
+    (select round(avg(case when o.d > 0 then (d <= 0)::int else (d >= 0)::int end), 6) from delta where resample >= 0) as p, (select count(*) from delta where resample >= 0) as resamples from delta o where o.resample = -1"""
+)
 def paired_bootstrap(spark, folder):
     p = _predictions(spark, folder)
     ordered = p.withColumn("idx", F.col("id") - F.lit(p.agg(F.min("id")).first()[0]))
     other = ordered.withColumn("prediction", F.concat_ws(" ", F.col("translation"), F.col("prediction")))
     stats = metrics.statistics(ordered.withColumn("system", F.lit("one")), "prediction", "translation", "idx", "system").unionAll(metrics.statistics(other.withColumn("system", F.lit("two")), "prediction", "translation", "idx", "system"))
-    draws = metrics.hashed_draws(ordered, "idx", 2000, 12345, ordered.count())
+    draws = metrics.hashed_draws(ordered, "idx", _ROUNDS, 12345, ordered.count())
     out = metrics.paired_bootstrap(stats, draws, "idx", "system", "two", "one")
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query()
+# Made systems: parts of the reference, and the next row's text.
+_SYSTEMS = {"full": (3, 4), "part": (1, 4), "small": (1, 2), "small_changed": (2, 3), "full_changed": (1, 2)}
+_SAID = " union all ".join([f"select '{n}:' || id as id, left(r, cast(length(r) * {a} // {b} as integer)) as h, r from x" for n, (a, b) in _SYSTEMS.items()] + ["select 'other:' || id, h, r from x"])
+_WIDE = ", ".join(f"max(case when split_part(sentence.id, ':', 1) = '{n}' then round(chrf, 6) end) as {n}" for n in (*_SYSTEMS, "other"))
+_ORDERS = {
+    "system_gap": ('"full" > 40', 'round("full" - other, 6) desc'), "change_by_size": ('small_changed - small > 5 and full_changed - "full" < -5', 'round(small_changed - small - (full_changed - "full"), 6) desc'),
+    "formulaic_success": ("genre in ('debt-note', 'memo')", '"full" desc'), "letter_failure": ("""genre = 'letter' and "full" > 15 and "full" < 40""", '"full"'), "more_data": ('"full" > 50', 'round("full" - part, 6) desc'),
+}
+
+
+@query(
+    f"""with x as ({_PAIRS}), {_stat_sql(_SAID)}, {_SENTENCE}, w as (select cast(split_part(sentence.id, ':', 2) as bigint) as test_id, {_WIDE.replace('as full,', 'as "full",')} from sentence group by 1),
+    m as (select w.*, genre from w join independent_test_set_clean t using (test_id) where length(transliteration) between 20 and 200 and length(translation) between 15 and 200)
+    {' union all '.join(f"(select '{n}' as category, test_id from m where {where} order by {order}, test_id limit 8)" for n, (where, order) in _ORDERS.items())}"""
+)
 def qualitative_examples(spark, folder):
-    scores = metrics.sentence_scores(metrics.statistics(_predictions(spark, folder), "prediction", "translation", "id"))
-    c = F.col("chrf")
-    return runs.example_table(scores, {"good": (c > 40, [F.desc("chrf"), F.asc("id")]), "middling": ((c > 15) & (c < 40), [F.desc("chrf"), F.asc("id")]), "poor": (c <= 15, [F.asc("chrf"), F.asc("id")])})
+    p = _predictions(spark, folder)
+    said = {n: F.expr(f"left(translation, cast(length(translation) * {a} div {b} as int))") for n, (a, b) in _SYSTEMS.items()} | {"other": F.col("prediction")}
+    stacked = p.select("id", "translation", F.explode(F.array(*(F.struct(F.lit(n).alias("system"), c.alias("said")) for n, c in said.items()))).alias("s")).select("id", "translation", "s.*")
+    scores = metrics.sentence_scores(metrics.statistics(stacked, "said", "translation", "id", "system"))
+    wide = scores.groupBy(F.col("id").alias("test_id")).agg(*(F.max(F.when(F.col("system") == n, F.round("chrf", 6))).alias(n) for n in said))
+    texts = rows.between_lengths(table(spark, folder, "independent_test_set_clean"), runs.READABLE).select("test_id", "genre")
+    return runs.example_table(wide.join(texts, "test_id"), runs.contrasts("test_id", "genre", "full", "other", "part", "small", "small_changed", "full_changed")).select("category", "test_id")
 
 
 @query(f"""with a as (select row_id, {S.strip("lower(coalesce(genre, ''))")} as g, length(transliteration) as n from {CORPUS})
@@ -594,13 +691,116 @@ def accumulation_schedule(spark, folder):
     return batching.accumulation(e, "p", "n", 4).select("event_id", "optimizer_step", "window_size", "scale", batching.steps_per_epoch(F.col("n"), 4).alias("steps"))
 
 
-@query()
+def _byte_ids(x: str) -> str:
+    bytes_ = f"list_transform(range(1, least(strlen({x}), 255) + 1), lambda k: cast('0x' || substring(hex(encode({x})), cast(2 * k - 1 as integer), 2) as integer) + 3)"
+    return f"list_append({bytes_}, 1)"
+
+
+def _said(ids: str) -> str:
+    return f"array_to_string(list_transform({ids}, lambda v: cast(v as varchar)), ' ')"
+
+
+_BYTES = f"""b as (select 'i' || test_id as id, cast(test_id // 8 as bigint) as batch, {_byte_ids("coalesce(transliteration, '')")} as s, {_byte_ids("coalesce(translation, '')")} as t from independent_test_set_clean
+    union all select 'n' || test_id, cast(test_id // 8 as bigint) + 1000000000, {_byte_ids("coalesce(transliteration, '')")}, {_byte_ids("coalesce(translation, '')")} from new_test_set)"""
+_PADDED = f"""{_said("list_concat(s, list_transform(range(0, a - len(s)), lambda k: 0))")} as input_ids, {_said("list_concat(list_transform(s, lambda v: 1), list_transform(range(0, a - len(s)), lambda k: 0))")} as attention_mask,
+    {_said("list_concat(t, list_transform(range(0, b - len(t)), lambda k: -100))")} as labels"""
+
+
+def _test_texts(spark, folder):
+    """Both test sets with an id and a batch of their own."""
+    out = None
+    for mark, first, name in (("i", 0, "independent_test_set_clean"), ("n", 1_000_000_000, "new_test_set")):
+        t = table(spark, folder, name).na.fill("", ["transliteration", "translation"])
+        one = t.select(F.concat(F.lit(mark), "test_id").alias("id"), (F.floor(F.col("test_id") / 8) + first).alias("batch"), "transliteration", "translation")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _spoken(df):
+    return df.withColumns({c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ") for c in ("input_ids", "attention_mask", "labels")})
+
+
+@query(f"with {_BYTES} select id, {_PADDED} from (select *, 256 as a, 256 as b from b)")
 def byte_tokenise_pad(spark, folder):
-    out = batching.fixed_length(table(spark, folder, "new_test_set").na.fill("", ["transliteration", "translation"]), "transliteration", "translation", 256, 256)
-    return out.select("test_id", "input_ids", "attention_mask", "labels")
+    out = batching.fixed_length(_test_texts(spark, folder), "transliteration", "translation", 256, 256)
+    return _spoken(out).select("id", "input_ids", "attention_mask", "labels")
 
 
-@query()
+@query(f"with {_BYTES} select id, batch, {_PADDED} from (select *, max(len(s)) over (partition by batch) as a, max(len(t)) over (partition by batch) as b from b)")
 def byte_tokenise_dynamic(spark, folder):
-    t = table(spark, folder, "new_test_set").na.fill("", ["transliteration", "translation"]).withColumn("batch", F.floor(F.col("test_id") / 8))
-    return batching.dynamic_length(t, "batch", "transliteration", "translation", 256, 256).select("test_id", "batch", "input_ids", "attention_mask", "labels")
+    out = batching.dynamic_length(_test_texts(spark, folder), "batch", "transliteration", "translation", 256, 256)
+    return _spoken(out).select("id", "batch", "input_ids", "attention_mask", "labels")
+
+
+# --- files -------------------------------------------------------------------
+
+_MISSING = ", ".join(f"'{m}'" for m in readers.MISSING)
+_CELL = lambda c: f"case when {c} in ({_MISSING}) then null else {c} end as {c}"
+
+
+@query(f"select row_id, {', '.join(map(_CELL, ('transliteration', 'translation', 'oare_id', 'genre', 'source', 'alignment_method')))} from {CORPUS}")
+def csv_prepared(spark, folder):
+    """The corpus written as CSV and read back as a prepared table."""
+    place = new_folder(spark, "csv")
+    sinks.write_csv(table(spark, folder, CORPUS).drop("edited_at", "ingested_at"), place, quote_all=True)
+    return readers.read_prepared(spark, place).select(F.col("row_id").cast("long").alias("row_id"), "transliteration", "translation", "oare_id", "genre", "source", "alignment_method")
+
+
+@query(f"select {_CELL('word')}, {_CELL('definition')}, {_CELL('derived_from')} from ebl_dictionary")
+def csv_dictionary(spark, folder):
+    place = new_folder(spark, "csv")
+    sinks.write_csv(table(spark, folder, "ebl_dictionary"), f"{place}/d.csv")
+    return readers.read_dictionary(spark, place, "d.csv").select("word", "definition", "derived_from")
+
+
+@query(f"select coalesce(entry_type, '') as type, coalesce(form, '') as form, coalesce(lexeme, '') as lexeme from oa_lexicon_ebl")
+def csv_strings(spark, folder):
+    """Read as strings, no cell is missing."""
+    place = new_folder(spark, "csv")
+    sinks.write_csv(table(spark, folder, "oa_lexicon_ebl"), place)
+    return readers.read_strings(spark, place).select(F.col("entry_type").alias("type"), "form", "lexeme")
+
+
+@query("select test_id, oare_id from new_test_set where oare_id is not null and trim(oare_id) <> '' and oare_id in (select oare_id from golden_corpus_v2_prefilt)")
+def json_ids(spark, folder):
+    """Ids of both tables written as one JSON list, read back and used as a filter."""
+    place = f"{new_folder(spark, 'ids')}/held.json"
+    ids = lambda t: table(spark, folder, t).select(F.col("oare_id").alias("id"))
+    sinks.write_id_union(place, ids(CORPUS))
+    return table(spark, folder, "new_test_set").join(readers.read_ids(spark, place, strict=True), F.trim("oare_id") == F.col("id"), "left_semi").select("test_id", "oare_id")
+
+
+@query(
+    """with e as (select *, row_number() over (partition by user_id, event_id % 2 order by event_id desc) as k from events), one as (select * from e where k = 1 and event_id % 2 = 0), two as (select * from e where k = 1 and event_id % 2 = 1)
+    select user_id as run_id, event_type as status from two union all select user_id, event_type from one where user_id not in (select user_id from two)"""
+)
+def registry_file(spark, folder):
+    """A registry written, read, and written again over itself with newer rows."""
+    place = new_folder(spark, "registry")
+    e = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("status"), F.col("event_id").alias("ordinal"))
+    full = lambda odd: metrics.best_rows(e.where(F.col("ordinal") % 2 == odd), "run_id", [F.desc("ordinal")]).select(*(F.col(c) if c in ("run_id", "status") else F.lit(None).cast("string").alias(c) for c in runs.REGISTRY))
+    full(0).write.parquet(place)
+    sinks.write_registry(spark.read.parquet(place), full(1), place)
+    return spark.read.parquet(place).select(F.col("run_id").cast("long").alias("run_id"), "status")
+
+
+@query("select row_number() over (order by test_id) - 1 as row, oare_id as doc_id, genre as prediction, transliteration, translation from new_test_set")
+def references_attached(spark, folder):
+    t = table(spark, folder, "new_test_set").withColumnRenamed("oare_id", "doc_id")
+    said, held = t.select(F.col("test_id").alias("ordinal"), "doc_id", F.col("genre").alias("prediction")), t.select((F.col("test_id") * 3).alias("ordinal"), "doc_id", "transliteration", "translation")
+    return readers.attach_references(said, held).select("row", "doc_id", "prediction", "transliteration", "translation")
+
+
+_PAIRED = "transliteration is not null and translation is not null"
+_GOOD = f"length(translation) >= 5 and greatest(length(transliteration), length(translation)) / greatest(1, least(length(transliteration), length(translation))) <= 10.0 and not regexp_matches(translation, '{S.METADATA}')"
+
+
+@query(
+    f"""with s as (select 0 as place, 'loaded' as stage, true as kept from {CORPUS} union all select 1, 'held_out', oare_id is null or not exists (select 1 from new_test_set t where t.oare_id = c.oare_id) from {CORPUS} c
+    union all select 2, 'complete', {_PAIRED} from {CORPUS} c where oare_id is null or not exists (select 1 from new_test_set t where t.oare_id = c.oare_id)
+    union all select 3, 'quality', {_GOOD} from {CORPUS} c where (oare_id is null or not exists (select 1 from new_test_set t where t.oare_id = c.oare_id)) and {_PAIRED})
+    select place, stage, count_if(kept) as rows from s group by place, stage"""
+)
+def stage_counts(spark, folder):
+    held = table(spark, folder, "new_test_set").select("oare_id")
+    return pipeline.stage_counts(table(spark, folder, CORPUS), pipeline_defaults(filter_quality=True), held)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -56,6 +56,23 @@ def filtered(df: DataFrame, data: Any, held: DataFrame | None) -> DataFrame:
     return df
 
 
+def stage_counts(df: DataFrame, data: Any, held: DataFrame | None = None) -> DataFrame:
+    """``place, stage, rows``: how many rows each stage of the filter leaves, observed in one pass over the data."""
+    stages = [("loaded", lambda d: d)]
+    if held is not None:
+        stages.append(("held_out", lambda d: rows.exclude_documents(d, held)))
+    stages.append(("complete", rows.complete_pairs))
+    if data.filter_quality:
+        stages.append(("quality", lambda d: rows.quality(d, least_chars=data.min_translation_chars, most_ratio=data.max_length_ratio)))
+    seen = []
+    for name, step in stages:
+        seen.append(Observation(name))
+        df = step(df).observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+    df.write.format("noop").mode("overwrite").save()
+    counted = [(k, name, o.get["rows"]) for k, ((name, _), o) in enumerate(zip(stages, seen, strict=True))]
+    return df.sparkSession.createDataFrame(counted, "place int, stage string, rows long")
+
+
 def normalised(df: DataFrame, data: Any) -> DataFrame:
     source = T.whitespace(F.col("transliteration")) if data.skip_source_normalization else T.normalize_transliteration(F.col("transliteration"), **normalisation_flags(data))
     out = df.withColumn("transliteration", source)

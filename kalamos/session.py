@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import weakref
 import zipfile
 from pathlib import Path
@@ -31,3 +32,24 @@ def spread(df: DataFrame) -> DataFrame:
     them before costly expressions; larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share (``spark.checkpoint.dir``; below the system's temporary folder
+    only for a local master without the setting), emptied when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/kalamos"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to such a place and read back."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

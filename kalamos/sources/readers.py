@@ -89,13 +89,14 @@ def read_ids(spark: SparkSession, path: str | None, strict: bool = False, keep_b
     anything but a list is always an error."""
     ids: list[str] = []
     if path is not None:
-        if not Path(path).exists():
+        place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             if strict:
                 raise FileNotFoundError(f"hold-out list not found: {path}; build it first with `kalamos holdout-union`")
             log.warning("hold-out list %s not found: nothing is held out", path)
         else:
             try:
-                listed = json.loads(Path(path).read_text(encoding="utf-8"))
+                listed = json.loads((spark.read.text(str(path), wholetext=True).first() or [""])[0])
             except json.JSONDecodeError as e:
                 raise ValueError(f"{path} is not JSON") from e
             if not isinstance(listed, list):

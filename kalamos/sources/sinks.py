@@ -7,22 +7,32 @@ import json
 import numbers
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalamos.operators.rows import union_ids, without_columns
 from kalamos.operators.runs import upsert_runs
+from kalamos.session import written
 
 TEXT_COLUMNS = ("transliteration", "translation", "reference", "source")
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=quote_all).csv(path)
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=quote_all, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(path: str | Path, value) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+    """To wherever tables can be written: a local path or one of the session's file systems."""
+    text = json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
 
 
 def write_id_union(path: str, *ids: DataFrame) -> int:
@@ -57,7 +67,8 @@ def write_bundle(folder: str, config: dict, predictions: dict[str, DataFrame], s
 
 
 def write_registry(registry: DataFrame, news: DataFrame, path: str) -> None:
-    upsert_runs(registry, news).write.mode("overwrite").parquet(path)
+    """The table may be the one that ``registry`` reads: the new one is written elsewhere before it takes the place."""
+    written(upsert_runs(registry, news), "registry").write.mode("overwrite").parquet(path)
 
 
 def append_history(path: str, metrics: dict, step: int, epoch: int, fresh: bool = False) -> None:

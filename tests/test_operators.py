@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kalamos.operators import batching, history, lexicon, metrics, retrieval, rows, runs, spans, splits, variants
 from kalamos.operators.retrieval import nearest
+from kalamos.sources import sinks
 
 
 def test_exclusion_keeps_rows_without_document(spark):
@@ -214,7 +215,7 @@ def test_batches(spark):
 def test_manifest(spark, tmp_path):
     df = spark.createDataFrame([(1, "a-na", "to"), (2, "um-ma", "thus")], "n long, transliteration string, translation string")
     out = {"plain": {"train": df, "test": df}}
-    variants.write_variants(out, str(tmp_path))
+    variants.write_variants(out, str(tmp_path), sinks.write_json)
     said = json.loads((tmp_path / "manifest.json").read_text())
     assert said["plain"]["train_rows"] == 2 and said["plain"]["train_source_bytes_max"] == 5
 
