@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kalamos.llm.work import written
 
-BINS = 200
+BINS, PER_PART = 200, 200_000  # bins of a partition; groups that one task balances
 
 
 def tablet_id(written_id: Column | str) -> Column:
@@ -141,9 +141,10 @@ def allocate(sums: np.ndarray, targets: list[tuple[str, float]], taken: dict[str
 def group_splits(weights: DataFrame, targets: list[tuple[str, float]], bins: int = BINS) -> DataFrame:
     """``group, split`` for ``group, weight``; whole groups only."""
     spark: SparkSession = weights.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(weights.select("group", F.col("weight").cast("long")).repartition(parts, "group").mapInArrow(_balance(bins), "group string, weight long, part int, bin int"), "bins")
-    sums = placed.groupBy("part", "bin").agg(F.sum("weight").alias("weight")).collect()  # at most parts * bins rows
+    weights = written(weights.select("group", F.col("weight").cast("long")), "weights")
+    parts = max(1, -(-weights.count() // PER_PART))
+    placed = written(weights.repartition(parts, "group").mapInArrow(_balance(bins), "group string, weight long, part int, bin int"), "bins")
+    sums = placed.groupBy("part", "bin").agg(F.sum("weight").alias("weight")).collect()  # parts * bins rows at most: one for a thousand groups
     solutions: dict[int, tuple[np.ndarray, list[list]]] = {}
     for part, b, weight in sorted(sums):
         vector, held = solutions.setdefault(part, (np.zeros(bins, np.int64), [[] for _ in range(bins)]))
@@ -154,7 +155,8 @@ def group_splits(weights: DataFrame, targets: list[tuple[str, float]], bins: int
     where = [(part, b, names[slot]) for slot, inside in enumerate(held) for part, b in inside]
     if not where:
         return spark.createDataFrame([], "group string, split string")
-    return placed.join(F.broadcast(spark.createDataFrame(where, "part int, bin int, split string")), ["part", "bin"]).select("group", "split")
+    # a small table as a rule; how it is joined is left to its measured size
+    return placed.join(spark.createDataFrame(where, "part int, bin int, split string"), ["part", "bin"]).select("group", "split")
 
 
 def assign_splits(tables: dict[str, tuple[DataFrame, str, str]], joins: DataFrame, left: str, right: str, targets: DataFrame, split_col: str, share_col: str, bins: int = BINS) -> DataFrame:
@@ -177,3 +179,22 @@ def assign_splits(tables: dict[str, tuple[DataFrame, str, str]], joins: DataFram
         reached = sum(s for n, s in wanted if n <= name)
         lone = F.when(point < reached / whole, name).otherwise(lone)
     return rows.join(split, "id_written", "left").select("table", "key", F.coalesce("split", lone).alias("split"))
+
+
+def split_check(assigned: DataFrame, tables: dict[str, tuple[DataFrame, str, str]], targets: DataFrame, split_col: str, share_col: str, play: float = 0.02) -> DataFrame:
+    """``split, rows, within, torn``: per wanted split its rows, whether its share of all rows is within ``play`` of the
+    one wanted, and how many of its ids as written also have rows in another split."""
+    ids = None
+    for name, (df, key, id_col) in tables.items():
+        side = df.select(F.lit(name).alias("table"), F.col(key).cast("long").alias("key"), tablet_id(id_col).alias("id"))
+        ids = side if ids is None else ids.unionAll(side)
+    by_id = assigned.join(ids, ["table", "key"]).groupBy("id", "split").agg(F.count(F.lit(1)).alias("n"))
+    torn = by_id.where("id is not null").groupBy("id").agg(F.collect_set("split").alias("splits")).where("size(splits) > 1").select(F.explode("splits").alias("split"))
+    torn = torn.groupBy("split").agg(F.count(F.lit(1)).alias("torn"))
+    sizes = by_id.groupBy("split").agg(F.sum("n").alias("rows"))
+    total = sizes.agg(F.sum("rows").alias("all"))
+    wanted = targets.where(f"{split_col} is not null and {share_col} > 0").groupBy(F.col(split_col).alias("split")).agg(F.max(share_col).alias("share"))
+    whole = wanted.agg(F.sum("share").alias("whole"))
+    out = wanted.join(sizes, "split", "left").join(torn, "split", "left").crossJoin(total).crossJoin(whole)  # one row each
+    rows = F.coalesce("rows", F.lit(0))
+    return out.select("split", rows.alias("rows"), (F.abs(rows / F.col("all") - F.col("share") / F.col("whole")) <= play).alias("within"), F.coalesce("torn", F.lit(0)).alias("torn"))

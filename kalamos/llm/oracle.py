@@ -87,6 +87,7 @@ ORACLE: dict[str, str] = {
       r(id, other) as (select distinct a, a from s union select r.id, s.b from r join s on s.a = r.other), g as (select id, min(other) as grp from r group by id),
       x as (select id_written, coalesce(grp, w.id) as group_id from w left join g using (id))
       select id_written, group_id from (select *, count(*) over (partition by group_id) as n from x) where n >= 2""",
+    "p3_shares": "select distinct split, true as within, 0 as torn from split_targets where split is not null and share > 0",
     "p4_found": f"""with s as ({_bag(CORPUS, 'row_id', 'transliteration')}), t as ({_bag(CORPUS, 'row_id', 'translation')}), hs as (select distinct id from s), ht as (select distinct id from t),
       {_share('one', 's', 's', 'p.id < q.id')}, {_share('two', 't', 't', 'p.id < q.id')},
       f1 as (select a, b from one where share >= 0.75 and (exists (select 1 from two where two.a = one.a and two.b = one.b and two.share >= 0.75) or one.a not in (select id from ht) or one.b not in (select id from ht))),

@@ -81,14 +81,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.join(many, "group").select("id_written", F.col("group").alias("group_id"))
 
 
-def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+def _splits(spark: SparkSession, folder: str):
     from kalamos.llm.groups import assign_splits
 
     tables = {
         CORPUS: (table(spark, folder, CORPUS), "row_id", "oare_id"),
         "sentence_pairs": (table(spark, folder, "sentence_pairs"), "pair_id", "doc_id"),
     }
-    return assign_splits(tables, table(spark, folder, "tablet_joins"), "left_id", "right_id", table(spark, folder, "split_targets"), "split", "share")
+    targets = table(spark, folder, "split_targets")
+    return tables, targets, assign_splits(tables, table(spark, folder, "tablet_joins"), "left_id", "right_id", targets, "split", "share")
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return _splits(spark, folder)[2]
+
+
+def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the assignment of all rows: the wanted splits, whether their shares came out, and that no id is torn."""
+    from kalamos.llm.groups import split_check
+    from kalamos.llm.work import written
+
+    tables, targets, assigned = _splits(spark, folder)
+    return split_check(written(assigned, "splits"), tables, targets, "split", "share").select("split", "within", "torn")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,4 +183,4 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").coverage().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p2_changes, p3_found, p3_splits, p4_found, p4_groups, p5_found, p5_groups, p5_one_form, p6_found, p6_scores, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p2_changes, p3_found, p3_splits, p3_shares, p4_found, p4_groups, p5_found, p5_groups, p5_one_form, p6_found, p6_scores, p7_ids, p8_found, p8_report, p9_found, p9_coverage)}

@@ -168,7 +168,7 @@ class SharedSpans:
         #: id, doc: every long enough row and the first row with the same text
         self.members = written(signed.join(first, "sig").select("id", "doc"), "members")
         lone = self.members.where("id = doc").select("doc")
-        self.texts = docs.withColumnRenamed("id", "doc").join(lone, "doc")
+        self.texts = written(docs.withColumnRenamed("id", "doc").join(lone, "doc"), "texts")
         marks = written(self.texts.select("doc", "text").mapInArrow(_anchor_rows(gram, least), "hash long, doc long, place int, again boolean"), "anchors")
         x, y = marks.alias("x"), marks.alias("y")
         met = x.join(y, F.expr("x.hash = y.hash and x.doc < y.doc"))
