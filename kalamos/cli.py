@@ -31,6 +31,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", required=True)
     p.add_argument("--test", action="append", required=True)
     p.add_argument("--out", required=True)
+    p = add("evaluate", "score prediction tables against their references and write the run's artifacts")
+    p.add_argument("--predictions", action="append", required=True, help="name=path of a table with doc_id and prediction")
+    p.add_argument("--references", action="append", required=True, help="name=path of the test set it answers")
+    p.add_argument("--config", help="how the references are prepared; without one by the defaults")
+    p.add_argument("--out", required=True)
     p = add("bootstrap", "paired bootstrap of two prediction tables")
     for name in ("one", "two"):
         p.add_argument(f"--{name}", required=True)
@@ -49,6 +54,7 @@ def run(args: argparse.Namespace, rest: list[str]) -> int:
 
     from kalamos.operators import metrics, splits, variants
     from kalamos.plans import pipeline, reports
+    from kalamos.session import written
     from kalamos.sources import config, readers, sinks
 
     spark = SparkSession.builder.appName("kalamos").getOrCreate()
@@ -74,6 +80,13 @@ def run(args: argparse.Namespace, rest: list[str]) -> int:
         scores = {n: pipeline.evaluate(df).first().asDict() for n, df in said.items()}
         sinks.write_bundle(args.out, cfg.data.__dict__, said, scores)
         print(json.dumps(scores))
+    elif args.command == "evaluate":
+        data = config.override(config.load(args.config) if args.config else config.Config(), rest).data
+        said, held = (dict(pair.split("=", 1) for pair in given) for given in (args.predictions, args.references))
+        tables = {n: pipeline.with_references(readers.read_csv(spark, said[n], ordinal=True), pipeline.load_test_data(spark, data, held[n])) for n in said}
+        scores = {n: pipeline.evaluate(df).first().asDict() for n, df in tables.items()}
+        sinks.write_bundle(args.out, data.__dict__, tables, scores)
+        print(json.dumps(scores))
     elif args.command == "bootstrap":
         sides = {n: readers.numbered(readers.read_csv(spark, getattr(args, n), ordinal=True)) for n in ("one", "two")}
         metrics.check_alignment(sides["one"], sides["two"], "row", "doc_id")
@@ -81,7 +94,7 @@ def run(args: argparse.Namespace, rest: list[str]) -> int:
         for name, df in sides.items():
             side = metrics.statistics(df.withColumn("system", F.lit(name)).withColumnRenamed("row", "idx"), "prediction", "translation", "idx", "system")
             stats = side if stats is None else stats.unionAll(side)
-        stats = stats.persist()
+        stats = written(stats, "statistics")
         draws = metrics.numpy_draws(spark, sides["one"].count(), args.resamples)
         print(json.dumps(metrics.paired_bootstrap(stats, draws, "idx", "system", "one", "two").first().asDict()))
     elif args.command == "loss-curves":

@@ -151,6 +151,12 @@ def evaluate(predictions: DataFrame, reference: str = "translation", *by: str) -
     return metrics.corpus_scores(metrics.statistics(predictions, "prediction", reference, *by), *by)
 
 
+def with_references(predictions: DataFrame, references: DataFrame) -> DataFrame:
+    """Predictions of a test set with its prepared texts, place by place; the documents must be the same."""
+    doc = rows.document_column(references) or "doc_id"
+    return readers.attach_references(predictions.withColumnRenamed(rows.document_column(predictions) or "doc_id", "doc_id"), references.withColumnRenamed(doc, "doc_id"))
+
+
 def retrieval_baseline(train: DataFrame, tests: dict[str, DataFrame], train_id: str, test_id: str) -> dict[str, DataFrame]:
     """Scores of the retrieval predictor per test set."""
     return {name: evaluate(predict_nearest(train, df, train_id, test_id)) for name, df in tests.items()}

@@ -196,6 +196,18 @@ def test_command_line(spark, folder, capsys):
     assert spark.read.parquet(str(folder / "tables/train")).count() >= 1
 
 
+def test_evaluate_command(spark, tmp_path, capsys):
+    (tmp_path / "t.csv").write_text("doc_id,transliteration,translation\nA,a-na be,to the lord of it\nB,um-ma,thus he said to us\n")
+    (tmp_path / "p.csv").write_text("doc_id,prediction\nA,to the lord of it\nB,thus he said\n")
+    words = ["evaluate", "--predictions", f"x={tmp_path}/p.csv", "--references", f"x={tmp_path}/t.csv", "--out", str(tmp_path / "out")]
+    assert cli.main(words) == 0
+    scores = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert 50 < scores["x"]["chrf"] < 100 and json.loads((tmp_path / "out/summary.json").read_text()) == scores
+    (tmp_path / "p.csv").write_text("doc_id,prediction\nB,to the lord of it\nA,thus he said\n")
+    with pytest.raises(ValueError, match="order of documents"):
+        cli.main(words)
+
+
 def run_stream(df, name):
     stream = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     stream.awaitTermination()
