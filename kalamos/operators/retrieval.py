@@ -1,13 +1,17 @@
 """Nearest neighbours under TF-IDF over character n-grams.
 
 Weights are raw counts times ln((1+N)/(1+df))+1, rows have length one, the
-score is the dot product.  The queries are a stated set: they go to the bank in
-blocks, and each task scores its own rows against a block as a sparse matrix
-product (frequent n-grams through a dense one, rare ones through posting
-lists), so the bank is never shuffled, no n-gram is hot, and a task returns one
-row per query.  Document frequencies are counted with map-side combine; their
-table goes to the tasks if its measured size allows, otherwise scores come from
-an equi-join.
+score is the dot product.  Bank texts, query texts and document frequencies are
+written to the shared folder; every task takes one bucket of the bank and one
+slice of the queries and reads what it needs from there, so the driver holds no
+rows, no n-grams and no blocks, no n-gram is hot, and a task returns one row per
+query.
+
+A task scores term at a time over the posting lists of the rarer n-grams.  The
+``HOT`` most frequent ones are not walked: the product of their weights is at most
+the sum, over groups of them, of the products of both rows' lengths within the
+group.  Only bank rows whose walked score and this bound reach the best score
+known are scored exactly, so nothing is lost.
 
 Ties go to the smallest id after rounding to 12 digits.  A query without a
 common n-gram takes the smallest id of the bank, score 0.
@@ -15,19 +19,24 @@ common n-gram takes the smallest id of the bank, score 0.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kalamos.functions import text as T
+from kalamos.session import new_folder
 
 _U = np.uint64
-QUERIES, ROWS, HOT = 4096, 256, 2048  # queries of a block, bank rows scored at once, n-grams kept dense
-MOST_GRAMS = 2_000_000  # entries of two numbers
+QUERIES, ROWS, HOT = 65_536, 12_288, 2048  # queries of a slice, bank rows of a bucket, n-grams bounded instead of walked
+ENTRIES, AT_ONCE = 4_000_000, 64  # n-grams of bank rows held at once, queries bounded at once
+ALONE, GROUPS = 256, 128  # most frequent n-grams that are a group each, groups of the other hot ones
+MOST_GRAMS = 16_000_000  # entries of two numbers
+FIRST = 24  # rows of a bucket scored first, for what the others must reach
+SLACK = 1e-5  # bounds are 32-bit numbers
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,32 +45,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _pieces(text: str, by_word: bool, longest: int) -> list[str]:
-    return [f" {w} " for w in text.split()] if by_word else [text]
-
-
-def _profile(text: str, least: int, most: int, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
-    hashes = []
-    for piece in _pieces(text, by_word, most):
-        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-        for n in range(least, most + 1):
-            if by_word and len(points) < n:
-                if n == least or len(points) >= n - 1:
-                    n = len(points)  # a short word counts once as a whole
-                else:
-                    break
-            if len(points) < n:
-                break
-            rolled = np.full(len(points) - n + 1, n, _U)
-            for k in range(n):
-                rolled = _mix(rolled * _U(0x9E3779B97F4A7C15) + points[k : len(points) - n + 1 + k])
-            hashes.append(rolled)
-            if by_word and n == len(points):
-                break
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, counts = np.unique(np.concatenate(hashes), return_counts=True)
-    return grams.view(np.int64), counts
+def _profiles(texts: list[str | None], least: int, most: int, by_word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, gram, count`` of many texts, in the order of both; a word shorter than ``least`` counts once as a whole."""
+    pieces = [f" {w} " for t in texts for w in (t or "").split()] if by_word else [t or "" for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len((t or "").split()) for t in texts]) if by_word else np.arange(len(texts))
+    size = np.array([len(p) for p in pieces], np.int64)
+    flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    piece = np.repeat(np.arange(len(pieces)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # code points to the end of the piece
+    hashes, rows = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for n in range(1 if by_word else least, most + 1):
+        start = np.flatnonzero(left >= n) if n >= least else np.flatnonzero((left == n) & (size[piece] == n))
+        rolled = np.full(len(start), n, _U)
+        for k in range(n):
+            rolled = _mix(rolled * _U(0x9E3779B97F4A7C15) + flat[start + k])
+        hashes.append(rolled)
+        rows.append(owner[piece[start]])
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    row, gram = row[order], np.concatenate(hashes)[order].view(np.int64)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        gram[a:b].sort()
+    first = np.ones(len(gram), bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(first)
+    return row[at], gram[at], np.diff(np.append(at, len(gram)))
 
 
 def _gram_rows(least: int, most: int, by_word: bool):
@@ -69,25 +78,46 @@ def _gram_rows(least: int, most: int, by_word: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                found = [_profile(t or "", least, most, by_word) for t in part.column(1).to_pylist()]
-                size = [len(g) for g, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, size)), pa.array(np.concatenate([g for g, _ in found])), pa.array(np.concatenate([c for _, c in found]).astype(np.int32))], names=["id", "gram", "tf"]
-                )
+                row, gram, tf = _profiles(part.column(1).to_pylist(), least, most, by_word)
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(gram), pa.array(tf.astype(np.int32))], names=["id", "gram", "tf"])
 
     return run
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text``: runs of white space count as one blank."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(text_col), f"{T.WS}{{2,}}", " ").alias("text"))
+
+
 def grams(df: DataFrame, id_col: str, text_col: str, least: int = 3, most: int = 5, analyzer: str = "char") -> DataFrame:
     """``id, gram, tf``: counts per row without a shuffle; n-grams are told apart by 64-bit hashes.  Runs of white
     space count as one blank."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(text_col), f"{T.WS}{{2,}}", " ").alias("text"))
-    return rows.mapInArrow(_gram_rows(least, most, analyzer == "char_wb"), "id long, gram long, tf int")
+    return _texts(df, id_col, text_col).mapInArrow(_gram_rows(least, most, analyzer == "char_wb"), "id long, gram long, tf int")
+
+
+def _counted(least: int, most: int, by_word: bool):
+    """``gram, df``, already summed over a few millions of n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
+        def counts() -> pa.RecordBatch:
+            gram, df = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(df)], names=["gram", "df"])
 
-def inverse_frequency(bank: DataFrame, rows: int) -> DataFrame:
-    return bank.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", (F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                held.append(_profiles(batch.column(1).slice(start, 500).to_pylist(), least, most, by_word)[1])
+                if sum(map(len, held)) >= ENTRIES:
+                    yield counts()
+                    held = []
+        yield counts()
+
+    return run
+
+
+def inverse_frequency(frequency: DataFrame, rows: int) -> DataFrame:
+    return frequency.select("gram", (F.log((1.0 + rows) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def weighted(profile: DataFrame, idf: DataFrame) -> DataFrame:
@@ -97,113 +127,221 @@ def weighted(profile: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "gram", (F.col("raw") / F.col("norm")).alias("w"), "idf")
 
 
-class _Block:
-    """A block of queries as the columns of a sparse matrix: frequent n-grams dense, rare ones as posting lists."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> None:
-        self.ids = ids
-        order = np.argsort(grams, kind="stable")
-        grams, rows, weights = grams[order], rows[order], weights[order]
-        self.grams, first = np.unique(grams, return_index=True)
-        self.first = np.append(first, len(grams))
-        size = np.diff(self.first)
-        hot = np.argsort(-size, kind="stable")[:HOT]
-        self.slot = np.full(len(self.grams), -1)
-        self.slot[hot] = np.arange(len(hot))
-        self.dense = np.zeros((len(hot), len(ids)))
-        slots = np.repeat(self.slot, size)
-        self.dense[slots[slots >= 0], rows[slots >= 0]] = weights[slots >= 0]
-        self.rows, self.weights = rows, weights
-
-    def scores(self, row: np.ndarray, grams: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """Dot products of ``n`` bank rows with all queries of the block."""
-        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
-        known = self.grams[at] == grams if len(self.grams) else np.zeros(len(grams), bool)
-        row, at, weights = row[known], at[known], weights[known]
-        slot = self.slot[at]
-        hot = slot >= 0
-        left = np.zeros((n, len(self.dense)))
-        left[row[hot], slot[hot]] = weights[hot]
-        out = left @ self.dense
-        row, at, weights = row[~hot], at[~hot], weights[~hot]
-        size = self.first[at + 1] - self.first[at]
-        if size.sum():
-            place = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            cell = np.repeat(row, size) * len(self.ids) + self.rows[place]
-            out += np.bincount(cell, np.repeat(weights, size) * self.weights[place], n * len(self.ids)).reshape(n, -1)
-        return out
-
-
-def _best_of_block(block, idf, least: int, most: int, by_word: bool, exclude_self: bool):
+def _files(folder: str):
+    """A written table as a dataset, in the order of its files; read in a task."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    place, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+    names = sorted(f.path for f in place.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet"))
+    return ds.dataset(names, filesystem=place, format="parquet") if names else None
+
+
+@functools.lru_cache(maxsize=1)
+def _frequencies(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of the bank and in how many rows each stands."""
+    table = _files(folder).to_table(columns=["gram", "df"])
+    return table.column("gram").to_numpy(), table.column("df").to_numpy()
+
+
+class _Weights:
+    """``row, gram, weight`` of a batch: of its texts by the written frequencies, or as its lists already hold them."""
+
+    def __init__(self, folder: str | None, rows: int, least: int, most: int, by_word: bool) -> None:
+        self.folder, self.rows, self.how = folder, rows, (least, most, by_word)
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.folder is None:
+            lists = batch.column(1)
+            return np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        row, gram, tf = _profiles(batch.column(1).to_pylist(), *self.how)
+        known, df = _frequencies(self.folder)
+        at = np.minimum(np.searchsorted(known, gram), len(known) - 1) if len(known) else np.zeros(len(gram), np.int64)
+        held = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+        row, gram = row[held], gram[held]
+        raw = tf[held] * (np.log((1.0 + self.rows) / (1.0 + df[at[held]])) + 1.0)
+        return row, gram, raw / np.sqrt(np.bincount(row, raw * raw, batch.num_rows))[row]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start .. start + size`` of every span, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class _Bucket:
+    """Bank rows with their n-grams, the posting lists of the rarer ones, and their lengths within groups of the hot."""
+
+    def __init__(self, ids: np.ndarray, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> None:
+        self.ids, self.weight, self.hot = ids, weight, hot
+        self.grams, at = np.unique(gram, return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.size = np.bincount(row, minlength=len(ids))
+        self.start = np.cumsum(self.size) - self.size
+        self.asked = np.zeros(len(self.grams))
+        self.lengths = self._lengths(row, gram, weight, len(ids))
+        slot = self._slot(self.grams)[at]
+        tail, often = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
+        self.slots, self.often = slot[often].astype(np.int16), weight[often]
+        self.often_size = np.bincount(row[often], minlength=len(ids))
+        self.often_start = np.cumsum(self.often_size) - self.often_size
+        tail = tail[np.argsort(self.at[tail], kind="stable")]
+        self.rows, self.weights = row[tail], weight[tail]
+        self.count = np.bincount(self.at[tail], minlength=len(self.grams))
+        self.first = np.cumsum(self.count) - self.count
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        """The place among the hot n-grams, or -1."""
+        known = self.hot[0]
+        if not len(known):
+            return np.full(len(grams), -1)
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        return np.where(known[at] == grams, at, -1)
+
+    def _lengths(self, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        slot = self._slot(gram)
+        some = slot >= 0
+        wide = ALONE + GROUPS
+        return np.sqrt(np.bincount(row[some] * wide + self.hot[1][slot[some]], weight[some] ** 2, n * wide)).reshape(n, wide).astype(np.float32)
+
+    def _hot(self, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """What the hot n-grams add to the scores of these rows."""
+        size = self.often_size[rows]
+        place = _spans(self.often_start[rows], size)
+        return np.bincount(np.repeat(np.arange(len(rows)), size), asked[self.slots[place]] * self.often[place], len(rows))
+
+    def _exact(self, rows: np.ndarray) -> np.ndarray:
+        size = self.size[rows]
+        place = _spans(self.start[rows], size)
+        return np.round(np.bincount(np.repeat(np.arange(len(rows)), size), self.asked[self.at[place]] * self.weight[place], len(rows)), 12)
+
+    def best(self, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int, least: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[int, int, float]]:
+        """``query, id, score`` of the best of these rows for each of ``n`` queries, where it reaches ``least``."""
+        bounds = self._lengths(row, gram, weight, n) @ self.lengths.T
+        edges = np.searchsorted(row, np.arange(n + 1))
+        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        held = self.grams[at] == gram
+        slot = self._slot(gram)
+        for q in range(n):
+            part = slice(edges[q], edges[q + 1])
+            mine, w = at[part][held[part]], weight[part][held[part]]
+            if not len(mine):
+                continue
+            size = self.count[mine]
+            place = _spans(self.first[mine], size)
+            walked = np.bincount(self.rows[place], np.repeat(w, size) * self.weights[place], len(self.ids))
+            most = bounds[q] + walked
+            if own is not None:
+                most[self.ids == own[q]] = 0
+            top = most.argmax()
+            if most[top] <= 0 or most[top] < least[q] - SLACK:
+                continue
+            often = slot[part] >= 0
+            asked = np.zeros(len(self.hot[0]))
+            asked[slot[part][often]] = weight[part][often]
+            first = np.argpartition(most, -FIRST)[-FIRST:] if len(most) > FIRST else np.arange(len(most))
+            first = first[most[first] > 0]
+            reach = max(least[q], (walked[first] + self._hot(first, asked)).max()) - SLACK
+            some = np.flatnonzero((most >= reach) & (most > 0))
+            close = walked[some] + self._hot(some, asked)
+            some = some[close >= close.max() - SLACK]  # in one order of addition, so that equal rows are equal
+            self.asked[mine] = w
+            scores = self._exact(some)
+            self.asked[mine] = 0
+            yield q, self.ids[some[scores == scores.max()]].min(), scores.max()
+
+
+def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.ndarray], exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, (known, value) = block.value, idf.value
-        best, owner = np.zeros(len(asked.ids)), np.full(len(asked.ids), -1)
-        column = {int(q): k for k, q in enumerate(asked.ids)}
+        queries = ids = best = owner = None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def ask() -> None:
+            lows = np.cumsum([0, *(len(h[0]) for h in held)])
+            bucket = _Bucket(np.concatenate([h[0] for h in held]), np.concatenate([h[1] + low for h, low in zip(held, lows, strict=False)]), *(np.concatenate([h[k] for h in held]) for k in (2, 3)), hot)
+            held.clear()
+            if not len(bucket.grams):
+                return
+            done = 0
+            for batch in queries.to_batches(batch_size=AT_ONCE, columns=queries.schema.names):
+                if batch.num_rows:
+                    span = slice(done, done + batch.num_rows)
+                    for q, one, score in bucket.best(*weights(batch), batch.num_rows, best[span], ids[span] if exclude_self else None):
+                        if score > best[done + q] or (score == best[done + q] and 0 < score and one < owner[done + q]):
+                            best[done + q], owner[done + q] = score, one
+                    done += batch.num_rows
+
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")  # the first of equal scores is then the smallest id
-            texts = batch.column(1).to_pylist()
-            for start in range(0, len(order), ROWS):
-                part = order[start : start + ROWS]
-                found = [_profile(texts[k] or "", least, most, by_word) for k in part]
-                row = np.repeat(np.arange(len(part)), [len(g) for g, _ in found])
-                grams = np.concatenate([g for g, _ in found])
-                weights = np.concatenate([c for _, c in found]) * value[np.searchsorted(known, grams)]
-                norm = np.sqrt(np.bincount(row, weights * weights, len(part)))
-                scores = np.round(asked.scores(row, grams, weights / norm[row], len(part)), 12)
-                if exclude_self:
-                    for k, one in enumerate(ids[part].tolist()):
-                        if one in column:
-                            scores[k, column[one]] = -1
-                first = scores.argmax(axis=0)
-                top, new = scores[first, np.arange(len(asked.ids))], ids[part][first]
-                better = (top > best) | ((top == best) & (top > 0) & (new < owner))
-                best[better], owner[better] = top[better], new[better]
-        some = best > 0
-        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[some]), pa.array(owner[some]), pa.array(best[some])], names=["query_id", "bank_id", "score"])
+            if not batch.num_rows:
+                continue
+            if ids is None:
+                queries = _files(f"{folder}/slice={batch.column('slice')[0].as_py()}")
+                if queries is None:
+                    return
+                ids = queries.to_table(columns=["id"]).column("id").to_numpy()
+                best, owner = np.zeros(len(ids)), np.full(len(ids), -1)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                held.append((part.column("id").to_numpy(zero_copy_only=False), *weights(part)))
+                if sum(len(h[2]) for h in held) >= ENTRIES:
+                    ask()
+        if held:
+            ask()
+        if ids is not None:
+            some = best > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(owner[some]), pa.array(best[some])], names=["query_id", "bank_id", "score"])
 
     return run
 
 
-def _joined(asked: DataFrame, profile: DataFrame, idf: DataFrame, exclude_self: bool) -> DataFrame:
-    """Best scores by an equi-join on n-grams: the way for vocabularies beyond what a task can hold."""
-    rows = weighted(profile, idf)
-    pairs = asked.alias("q").join(rows.alias("b"), F.expr("q.gram = b.gram" + (" and q.id <> b.id" if exclude_self else "")))
-    return pairs.groupBy(F.col("q.id").alias("query_id"), F.col("b.id").alias("bank_id")).agg(F.round(F.sum(F.expr("q.w * b.w")), 12).alias("score"))
+def _grid(queries: int, bank: int, tasks: int) -> tuple[int, int]:
+    """Slices of the queries and buckets of the bank: at least so many tasks, with the fewest texts read in all."""
+    least = -(-queries // QUERIES)
+    ways = [(s, max(-(-tasks // s), -(-bank // ROWS))) for s in range(max(1, least), max(1, least, tasks) + 1)]
+    return min(ways, key=lambda w: w[0] * bank + w[1] * queries)
+
+
+def _vectors(texts: DataFrame, idf: DataFrame, how: tuple[int, int, str]) -> DataFrame:
+    """``id, grams, weights`` by joins: the way for vocabularies beyond what a task can hold."""
+    rows = weighted(grams(texts, "id", "text", *how), idf)
+    row = F.array_sort(F.collect_list(F.struct("gram", "w"))).alias("v")
+    return rows.groupBy("id").agg(row).select("id", F.col("v.gram").alias("grams"), F.col("v.w").alias("weights"))
 
 
 def nearest(queries: DataFrame, bank: DataFrame, query_id: str, query_text: str, bank_id: str, bank_text: str, least: int = 3, most: int = 5, analyzer: str = "char", exclude_self: bool = False) -> DataFrame:
     """``query_id, bank_id, score``: the nearest bank row of every query.  With ``exclude_self`` a query never takes
     the bank row of its own id, unless the bank has no other."""
-    spark = bank.sparkSession
-    head = bank.select(F.col(bank_id).cast("long").alias("id"))
-    size = head.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one")).first()
+    spark, how = bank.sparkSession, (least, most, analyzer)
+    folder = new_folder(spark, "nearest")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    held, asked = kept(_texts(bank, bank_id, bank_text), "bank"), kept(_texts(queries, query_id, query_text), "queries")
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one")).first()
     if not size["n"]:
         raise ValueError("the bank is empty")
-    second = head.where(F.col("id") != F.lit(size["one"])).agg(F.min("id")).first()[0]
-    profile = grams(bank, bank_id, bank_text, least, most, analyzer)
-    idf = inverse_frequency(profile, size["n"]).persist(StorageLevel.MEMORY_AND_DISK)
-    asked = weighted(grams(queries, query_id, query_text, least, most, analyzer), idf).select("id", "gram", "w").persist(StorageLevel.MEMORY_AND_DISK)
-    if idf.count() <= MOST_GRAMS:
-        table = idf.toPandas().sort_values("gram")
-        shared = spark.sparkContext.broadcast((table["gram"].to_numpy(), table["idf"].to_numpy()))
-        texts = bank.select(F.col(bank_id).cast("long").alias("id"), F.regexp_replace(F.col(bank_text), f"{T.WS}{{2,}}", " ").alias("text"))
-        blocks = -(-asked.select("id").distinct().count() // QUERIES)
-        found = None
-        for k in range(blocks):  # the stated query set, a block at a time, against all rows
-            part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()
-            ids, rows = np.unique(part["id"].to_numpy(), return_inverse=True)
-            block = spark.sparkContext.broadcast(_Block(ids, rows, part["gram"].to_numpy(), part["w"].to_numpy()))
-            one = texts.mapInArrow(_best_of_block(block, shared, least, most, analyzer == "char_wb", exclude_self), "query_id long, bank_id long, score double")
-            found = one if found is None else found.unionAll(one)
-        if found is None:
-            found = spark.createDataFrame([], "query_id long, bank_id long, score double")
-    else:
-        found = _joined(asked, profile, idf, exclude_self)
+    second = held.where(F.col("id") != F.lit(size["one"])).agg(F.min("id")).first()[0]
+    by_word = analyzer == "char_wb"
+    counts = held.mapInArrow(_counted(least, most, by_word), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    frequency = kept(counts.orderBy("gram"), "frequency")
+    idf = inverse_frequency(frequency, size["n"])
+    top = np.array([r[0] for r in frequency.orderBy(F.desc("df"), "gram").limit(HOT).select("gram").collect()], np.int64)
+    group = np.arange(len(top))
+    group = np.where(group < ALONE, group, ALONE + (group - ALONE) * GROUPS // max(1, HOT - ALONE))
+    hot = (np.sort(top), group[np.argsort(top)])
+    shared = frequency.count() <= MOST_GRAMS
+    weights = _Weights(f"{folder}/frequency" if shared else None, size["n"], least, most, by_word)
+    known = lambda texts: texts if shared else _vectors(texts, idf, how)
+    slices, buckets = _grid(asked.count(), size["n"], 2 * spark.sparkContext.defaultParallelism)
+    known(asked).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).repartition(slices, "slice").write.partitionBy("slice").parquet(f"{folder}/slices")
+    rows = known(held).select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    place = (F.col("slice") * F.lit(buckets) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets))).cast("int")
+    found = rows.repartitionById(slices * buckets, place).mapInArrow(_best_of_bucket(f"{folder}/slices", weights, hot, exclude_self), "query_id long, bank_id long, score double")
     best = F.max_by(F.struct("bank_id", "score"), F.struct("score", (-F.col("bank_id")).alias("first"))).alias("b")
     top = found.groupBy("query_id").agg(best).select("query_id", "b.bank_id", "b.score")
     default = F.lit(size["one"]).cast("long")
     if exclude_self and second is not None:
         default = F.when(F.col("query_id") == size["one"], F.lit(second).cast("long")).otherwise(default)
-    everyone = queries.select(F.col(query_id).cast("long").alias("query_id")).distinct()
+    everyone = asked.select(F.col("id").alias("query_id")).distinct()
     return everyone.join(top, "query_id", "left").select("query_id", F.coalesce("bank_id", default).alias("bank_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
