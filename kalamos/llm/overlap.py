@@ -10,6 +10,12 @@ the words in canonical order, the first among which two must be common with any
 record of enough common share give a key a pair; longer records give these keys
 as far as they can match a short one.
 
+Words of many training records (a list of fixed size) would make hot keys.  The
+canonical order of the prefixes puts them last, and where all words of a pair are
+frequent the key takes a third word that must be common as well; a winnowed hash of
+two frequent neighbours is replaced by the two of three neighbours around it, so
+any 3 words in common in a row still select a common hash.
+
 Splits are joined on the selected minima; the training side shuffles only keys
 that may stand in a test split (a filter of fixed size), and the parity sketch
 carried along rejects hopeless pairs inside the join without loss.  For each
@@ -27,6 +33,7 @@ Ids play no part in the comparison.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -41,6 +48,7 @@ from kalamos.llm.work import written
 
 SHARE = 0.75
 SHORT = 12
+FREQUENT, MOST_FREQUENT = 500, 256  # training records from which a word is frequent, words listed at most
 _U = np.uint64
 FOUND = "split string, test_id long, sig long, share double, test_coverage double, row_coverage double, in_order double"
 
@@ -58,11 +66,11 @@ def _grams(flat: np.ndarray, offsets: np.ndarray, k: int, salt: int) -> tuple[np
     return rolled[inside], rows[:n][inside]
 
 
-def _winnow(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The minimum of each window of two neighbours; all where the record has one hash only."""
-    if not len(values):
-        return values, rows
+def _selected(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the minimum of each window of two neighbours is; all where the record has one hash only."""
     keep = np.zeros(len(values), bool)
+    if not len(values):
+        return keep
     pair = rows[:-1] == rows[1:]
     less = values[:-1] <= values[1:]
     keep[:-1] |= pair & less
@@ -70,26 +78,111 @@ def _winnow(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lone = np.ones(len(values), bool)
     lone[:-1] &= ~pair
     lone[1:] &= ~pair
-    keep |= lone
+    return keep | lone
+
+
+def _winnow(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = _selected(values, rows)
     return values[keep], rows[keep]
 
 
+def _neighbours(words: np.ndarray, offsets: np.ndarray, salt: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed hashes of 2 neighbours and their rows; of 3, with either neighbour of the two, where both are frequent."""
+    values, rows = _grams(words, offsets, 2, salt)
+    keep = _selected(values, rows)
+    if not often.any():
+        return values[keep], rows[keep]
+    all_rows = row_of(offsets)
+    place = np.flatnonzero(all_rows[:-1] == all_rows[1:])  # of the first word of each hash
+    hot = often[place] & often[place + 1] & (np.diff(offsets)[rows] > 2)
+    wide, wide_rows = _grams(words, offsets, 3, salt + 16)
+    at = np.full(len(words) + 1, -1)
+    at[np.flatnonzero(all_rows[:-2] == all_rows[2:])] = np.arange(len(wide))
+    first = place[keep & hot]
+    around = np.concatenate([at[first], np.where(first > 0, at[first - 1], -1)])
+    around = np.unique(around[around >= 0])
+    return np.concatenate([values[keep & ~hot], wide[around]]), np.concatenate([rows[keep & ~hot], wide_rows[around]])
+
+
+def rare_first(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Numbers that stand for the tokens and put those of the list (least frequent first) behind all others."""
+    if not len(frequent):
+        return tokens >> _U(1)
+    order = np.argsort(frequent)
+    at = np.minimum(np.searchsorted(frequent[order], tokens), len(frequent) - 1)
+    return np.where(frequent[order][at] == tokens, (_U(1) << _U(63)) + order[at].astype(_U), tokens >> _U(1))
+
+
+def short_keys(tokens: np.ndarray, offsets: np.ndarray, share: float, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix keys (see :func:`prefix_keys`) of numbers by :func:`rare_first`.  Behind a frequent word all are frequent:
+    a key that begins with one holds three words, of a prefix one longer, wherever three must be common.  Bags for which
+    two can be enough give keys of both kinds."""
+    values, owners = prefix_keys(tokens, offsets, share, longest)
+    sizes, rows = np.diff(offsets), row_of(offsets)
+    tokens = tokens[np.lexsort((tokens, rows))]
+    hot = tokens >> _U(63) > 0
+    some = np.bincount(rows[hot], minlength=len(sizes)) > 1
+    if not some.any():
+        return values, owners
+    keep = ~some[owners]
+    all_values, all_owners = [values[keep]], [owners[keep]]
+    most = math.floor(longest * (2 - share) / share + 1e-9)
+    for n in np.unique(sizes[some & (sizes <= most)]).tolist():
+        own = np.flatnonzero(some & (sizes == n))
+        common = max(1, math.ceil(share * n / (2 - share) - 1e-9))
+        two, three = min(n, n - common + 2), min(n, n - common + 3)
+        i, j = np.triu_indices(two, 1)
+        a, b, c = np.array([(x, y, z) for x, y in zip(i.tolist(), j.tolist(), strict=True) for z in range(y + 1, three)], np.int64).reshape(-1, 3).T
+        step = max(1, 4_000_000 // max(1, len(a) + len(i)))
+        for start in range(0, len(own), step):
+            part = own[start : start + step]
+            place = offsets[part][:, None] + np.arange(n)[None, :]
+            words, often = tokens[place], hot[place]
+            pair = lambda x, y, w=words: mix(w[:, x] * _U(31) + mix(w[:, y] + _U(11)))
+            found = [(pair(i, j), ~often[:, i] | (common < 3)), (mix(pair(a, b) * _U(31) + mix(words[:, c] + _U(13))), often[:, a])]
+            if common == 1:
+                found.append((mix(words + _U(7)), np.ones(words.shape, bool)))
+            for keys, take in found:
+                all_values.append(keys[take])
+                all_owners.append(part[np.nonzero(take)[0]])
+    return np.concatenate(all_values), np.concatenate(all_owners)
+
+
 def canonical(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The words of each record as a set of (word, how-manyth), in the order of their hashes."""
     tokens = bags(flat, offsets)
     return tokens[np.lexsort((tokens, row_of(offsets)))]
 
 
-def fingerprints(flat: np.ndarray, offsets: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Selected hashes (48 bits) and their rows."""
+NONE = np.zeros(0, _U)
+
+
+def fingerprints(flat: np.ndarray, offsets: np.ndarray, share: float = SHARE, frequent: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """Selected hashes (48 bits) and their rows; ``frequent`` lists tokens, least frequent first."""
     sizes = np.diff(offsets)
     tokens = canonical(flat, offsets)
-    grams = [_winnow(*_grams(words, offsets, 2, salt)) for salt, words in ((1, flat), (2, tokens))]
+    listed = np.sort(frequent)
+    often = lambda x: listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x if len(listed) else np.zeros(len(x), bool)
+    grams = [_neighbours(words, offsets, salt, often(names)) for salt, words, names in ((1, flat, mix(flat)), (2, tokens, tokens))]
     grams = [(v[sizes[r] > SHORT], r[sizes[r] > SHORT]) for v, r in grams]
-    grams.append(prefix_keys(tokens, offsets, share, SHORT))
+    grams.append(short_keys(rare_first(tokens, frequent), offsets, share, SHORT))
     return (np.concatenate([v for v, _ in grams]) >> _U(16)).view(np.int64), np.concatenate([r for _, r in grams])
 
 
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            token, n = np.unique(bags(*_flat(batch.column("words"))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+
+def frequent_tokens(corpus: DataFrame, least: int | None = None, most: int | None = None) -> np.ndarray:
+    """The tokens of at least so many records, at most so many of them; the least frequent come first."""
+    counts = corpus.select("words").mapInArrow(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= (FREQUENT if least is None else least)).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT if most is None else most)
+    return np.array([r.token for r in counts.collect()][::-1], np.int64).view(_U)
+
+
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
@@ -114,12 +207,12 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return mix(lists.values.to_numpy().view(np.uint32).astype(_U))[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _keys(share: float, asked=None):
+def _keys(share: float, frequent: np.ndarray, asked=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values, rows = fingerprints(*_flat(batch.column("words")), share)
+            values, rows = fingerprints(*_flat(batch.column("words")), share, frequent)
             if asked is not None:
                 some = may_meet(asked.value, values)
                 values, rows = values[some], rows[some]
@@ -211,8 +304,9 @@ def cross_split_overlaps(train: DataFrame, id_col: str, text_col: str, tests: di
     classes = corpus.select("sig", "sketch", "words").dropDuplicates(["sig"])
     asked_classes = asked.select("sig", "sketch", "words").dropDuplicates(["sig"])
     keys = "key long, sig long, sketch long"
-    wanted = written(asked_classes.mapInArrow(_keys(share), keys), "test-keys")
-    x, y = wanted.alias("x"), classes.mapInArrow(_keys(share, key_filter(wanted)), keys).alias("y")
+    frequent = frequent_tokens(corpus)
+    wanted = written(asked_classes.mapInArrow(_keys(share, frequent), keys), "test-keys")
+    x, y = wanted.alias("x"), classes.mapInArrow(_keys(share, frequent, key_filter(wanted)), keys).alias("y")
     met = x.join(y, F.expr(f"x.key = y.key and {sketch_condition('x.sketch', 'y.sketch', share)}"))
     met = met.select(F.col("x.sig").alias("asked"), F.col("y.sig").alias("sig")).distinct()
     pairs = met.join(classes.select("sig", "words"), "sig").join(asked.select(F.col("sig").alias("asked"), "split", "id", F.col("words").alias("own")), "asked")
