@@ -31,8 +31,8 @@ from kalamos.functions import text as T
 from kalamos.session import new_folder
 
 _U = np.uint64
-QUERIES, ROWS, HOT = 65_536, 12_288, 2048  # queries of a slice, bank rows of a bucket, n-grams bounded instead of walked
-ENTRIES, AT_ONCE = 4_000_000, 64  # n-grams of bank rows held at once, queries bounded at once
+QUERIES, ROWS, HOT = 65_536, 8_192, 2048  # queries of a slice, bank rows of a bucket, n-grams bounded instead of walked
+ENTRIES, AT_ONCE = 2_500_000, 64  # n-grams of bank rows held at once, queries bounded at once
 ALONE, GROUPS = 256, 128  # most frequent n-grams that are a group each, groups of the other hot ones
 MOST_GRAMS = 16_000_000  # entries of two numbers
 FIRST = 24  # rows of a bucket scored first, for what the others must reach
@@ -179,9 +179,10 @@ class _Bucket:
         self.start = np.cumsum(self.size) - self.size
         self.asked = np.zeros(len(self.grams))
         self.lengths = self._lengths(row, gram, weight, len(ids))
-        slot = self._slot(self.grams)[at]
+        slot = self._slot(self.grams).astype(np.int16)[self.at]
+        del at, gram
         tail, often = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
-        self.slots, self.often = slot[often].astype(np.int16), weight[often]
+        self.slots, self.often = slot[often], weight[often]
         self.often_size = np.bincount(row[often], minlength=len(ids))
         self.often_start = np.cumsum(self.often_size) - self.often_size
         tail = tail[np.argsort(self.at[tail], kind="stable")]
@@ -257,8 +258,11 @@ def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.nd
 
         def ask() -> None:
             lows = np.cumsum([0, *(len(h[0]) for h in held)])
-            bucket = _Bucket(np.concatenate([h[0] for h in held]), np.concatenate([h[1] + low for h, low in zip(held, lows, strict=False)]), *(np.concatenate([h[k] for h in held]) for k in (2, 3)), hot)
+            one, row = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + low for h, low in zip(held, lows, strict=False)])
+            gram, weight = (np.concatenate([h[k] for h in held]) for k in (2, 3))
             held.clear()
+            bucket = _Bucket(one, row, gram, weight, hot)
+            del row, gram, weight
             if not len(bucket.grams):
                 return
             done = 0

@@ -5,7 +5,7 @@ from pyspark import SparkContext
 
 from kalamos.plans import catalogue
 
-QUERIES = ["tfidf_1nn"]
+QUERIES = ["tfidf_1nn", "retrieval_variants"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
