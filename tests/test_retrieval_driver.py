@@ -5,7 +5,7 @@ from pyspark import SparkContext
 
 from kalamos.plans import catalogue
 
-QUERIES = ["tfidf_1nn", "retrieval_variants", "tfidf_self_nn", "tfidf_within_words"]
+QUERIES = ["tfidf_1nn", "retrieval_variants", "tfidf_self_nn", "tfidf_within_words", "retrieval_baseline_scores"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
