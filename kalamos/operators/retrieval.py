@@ -33,6 +33,7 @@ from kalamos.session import new_folder
 _U = np.uint64
 QUERIES, ROWS, HOT = 65_536, 8_192, 2048  # queries of a slice, bank rows of a bucket, n-grams bounded instead of walked
 ENTRIES, AT_ONCE = 2_500_000, 64  # n-grams of bank rows held at once, queries bounded at once
+FILLED = 0.94  # share of ENTRIES in a mean bucket, as buckets differ
 ALONE, GROUPS = 256, 128  # most frequent n-grams that are a group each, groups of the other hot ones
 MOST_GRAMS = 16_000_000  # entries of two numbers
 FIRST = 24  # rows of a bucket scored first, for what the others must reach
@@ -297,10 +298,11 @@ def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.nd
     return run
 
 
-def _grid(queries: int, bank: int, tasks: int) -> tuple[int, int]:
-    """Slices of the queries and buckets of the bank: at least so many tasks, with the fewest texts read in all."""
-    least = -(-queries // QUERIES)
-    ways = [(s, max(-(-tasks // s), -(-bank // ROWS))) for s in range(max(1, least), max(1, least, tasks) + 1)]
+def _grid(queries: int, bank: int, entries: int, tasks: int) -> tuple[int, int]:
+    """Slices of the queries and buckets of the bank: at least so many tasks, with the fewest texts read in all.  A bucket
+    is small enough to be one index, as the queries are walked once an index."""
+    least, buckets = -(-queries // QUERIES), max(-(-bank // ROWS), int(entries // (FILLED * ENTRIES)) + 1)
+    ways = [(s, max(-(-tasks // s), buckets)) for s in range(max(1, least), max(1, least, tasks) + 1)]
     return min(ways, key=lambda w: w[0] * bank + w[1] * queries)
 
 
@@ -334,10 +336,11 @@ def nearest(queries: DataFrame, bank: DataFrame, query_id: str, query_text: str,
     group = np.arange(len(top))
     group = np.where(group < ALONE, group, ALONE + (group - ALONE) * GROUPS // max(1, HOT - ALONE))
     hot = (np.sort(top), group[np.argsort(top)])
-    shared = frequency.count() <= MOST_GRAMS
+    seen = frequency.agg(F.count(F.lit(1)).alias("grams"), F.coalesce(F.sum("df"), F.lit(0)).alias("entries")).first()
+    shared = seen["grams"] <= MOST_GRAMS
     weights = _Weights(f"{folder}/frequency" if shared else None, size["n"], least, most, by_word)
     known = lambda texts: texts if shared else _vectors(texts, idf, how)
-    slices, buckets = _grid(asked.count(), size["n"], 2 * spark.sparkContext.defaultParallelism)
+    slices, buckets = _grid(asked.count(), size["n"], seen["entries"], 2 * spark.sparkContext.defaultParallelism)
     known(asked).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).repartition(slices, "slice").write.partitionBy("slice").parquet(f"{folder}/slices")
     rows = known(held).select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     place = (F.col("slice") * F.lit(buckets) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets))).cast("int")

@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from kalamos.functions import text as T
 from kalamos.operators import lexicon, metrics, rows, spans, splits
 from kalamos.operators.retrieval import nearest
+from kalamos.session import written
 from kalamos.sources import readers
 from kalamos.sources.config import normalisation_flags
 
@@ -140,7 +141,8 @@ def predict_with(df: DataFrame, model: Predict, column: str = "prediction", clea
 
 
 def predict_nearest(train: DataFrame, test: DataFrame, train_id: str, test_id: str, source: str = "transliteration", target: str = "translation", **grams) -> DataFrame:
-    """The retrieval predictor: the translation of the nearest training source."""
+    """The retrieval predictor: the translation of the nearest training source.  Training rows are prepared once."""
+    train = written(train.select(train_id, source, target), "bank")
     near = nearest(test, train, test_id, source, train_id, source, **grams)
     said = train.select(F.col(train_id).cast("long").alias("bank_id"), F.col(target).alias("prediction"))
     return test.join(near.join(said, "bank_id").select(F.col("query_id").alias(test_id), "bank_id", "score", "prediction"), test_id)
