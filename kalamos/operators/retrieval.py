@@ -5,7 +5,9 @@ score is the dot product.  Bank texts, query texts and document frequencies are
 written to the shared folder; every task takes one bucket of the bank and one
 slice of the queries and reads what it needs from there, so the driver holds no
 rows, no n-grams and no blocks, no n-gram is hot, and a task returns one row per
-query.
+query.  Queries are stored with their n-grams, as places among the frequencies, so
+they are split once; the first buckets are searched first, and what they found is
+what the rows of all others must reach.
 
 A task scores term at a time over the posting lists of the rarer n-grams.  The
 ``HOT`` most frequent ones are not walked: the product of their weights is at most
@@ -31,12 +33,12 @@ from kalamos.functions import text as T
 from kalamos.session import new_folder
 
 _U = np.uint64
-QUERIES, ROWS, HOT = 65_536, 8_192, 2048  # queries of a slice, bank rows of a bucket, n-grams bounded instead of walked
-ENTRIES, AT_ONCE = 2_500_000, 64  # n-grams of bank rows held at once, queries bounded at once
+QUERIES, ROWS, HOT = 65_536, 8_192, 3072  # queries of a slice, bank rows of a bucket, n-grams bounded instead of walked
+ENTRIES, AT_ONCE = 2_500_000, 256  # n-grams of bank rows held at once, queries bounded at once
 FILLED = 0.94  # share of ENTRIES in a mean bucket, as buckets differ
-ALONE, GROUPS = 256, 128  # most frequent n-grams that are a group each, groups of the other hot ones
+GROUPS = 512  # of the hot ones, by frequency: n-grams that always come together are neighbours
 MOST_GRAMS = 16_000_000  # entries of two numbers
-FIRST = 24  # rows of a bucket scored first, for what the others must reach
+FIRST, FEW = 24, 96  # rows of a bucket scored first, for what the others must reach; so few need no first ones
 SLACK = 1e-5  # bounds are 32-bit numbers
 
 
@@ -146,7 +148,8 @@ def _frequencies(folder: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Weights:
-    """``row, gram, weight`` of a batch: of its texts by the written frequencies, or as its lists already hold them."""
+    """``row, gram, weight`` of a batch: of its texts or places by the written frequencies, a gram being its place among
+    them, or as its lists already hold them."""
 
     def __init__(self, folder: str | None, rows: int, least: int, most: int, by_word: bool) -> None:
         self.folder, self.rows, self.how = folder, rows, (least, most, by_word)
@@ -155,13 +158,49 @@ class _Weights:
         if self.folder is None:
             lists = batch.column(1)
             return np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        df = _frequencies(self.folder)[1]
+        if "places" in batch.schema.names:
+            lists = batch.column("places")
+            row, at = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+            return row, at, self._weights(row, batch.column("tf").flatten().to_numpy(), df[at], batch.num_rows)
+        row, at, tf = self.places(batch)
+        return row, at, self._weights(row, tf, df[at], batch.num_rows)
+
+    def hot(self, grams: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Hot n-grams as the batches name them, their groups, and by place which of them it is, or -1."""
+        if self.folder is None:
+            return grams, group, None
+        known = _frequencies(self.folder)[0]
+        at, slot = np.searchsorted(known, grams), np.full(len(known), -1, np.int16)
+        slot[at] = np.arange(len(at))
+        return at, group, slot
+
+    def places(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``row, place, count`` of a batch of texts: places among the frequencies, n-grams that have none are dropped."""
         row, gram, tf = _profiles(batch.column(1).to_pylist(), *self.how)
-        known, df = _frequencies(self.folder)
+        known = _frequencies(self.folder)[0]
         at = np.minimum(np.searchsorted(known, gram), len(known) - 1) if len(known) else np.zeros(len(gram), np.int64)
         held = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-        row, gram = row[held], gram[held]
-        raw = tf[held] * (np.log((1.0 + self.rows) / (1.0 + df[at[held]])) + 1.0)
-        return row, gram, raw / np.sqrt(np.bincount(row, raw * raw, batch.num_rows))[row]
+        return row[held], at[held], tf[held]
+
+    def _weights(self, row: np.ndarray, tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+        raw = tf * (np.log((1.0 + self.rows) / (1.0 + df)) + 1.0)
+        return raw / np.sqrt(np.bincount(row, raw * raw, n))[row]
+
+
+def _placed(weights: _Weights):
+    """``id, places, tf`` of texts: what ``_Weights`` makes of them, but for the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                row, at, tf = weights.places(part)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at, tf))
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "places", "tf"])
+
+    return run
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -172,9 +211,12 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class _Bucket:
     """Bank rows with their n-grams, the posting lists of the rarer ones, and their lengths within groups of the hot."""
 
-    def __init__(self, ids: np.ndarray, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, ids: np.ndarray, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray | None]) -> None:
         self.ids, self.weight, self.hot = ids, weight, hot
         self.grams, at = np.unique(gram, return_inverse=True)
+        self.found = None if hot[2] is None else np.full(len(hot[2]), -1, np.int32)
+        if self.found is not None:
+            self.found[self.grams] = np.arange(len(self.grams))
         self.at = at.astype(np.int32)
         self.size = np.bincount(row, minlength=len(ids))
         self.start = np.cumsum(self.size) - self.size
@@ -194,6 +236,8 @@ class _Bucket:
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         """The place among the hot n-grams, or -1."""
         known = self.hot[0]
+        if self.hot[2] is not None:
+            return self.hot[2][grams]
         if not len(known):
             return np.full(len(grams), -1)
         at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -202,7 +246,7 @@ class _Bucket:
     def _lengths(self, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         slot = self._slot(gram)
         some = slot >= 0
-        wide = ALONE + GROUPS
+        wide = GROUPS
         return np.sqrt(np.bincount(row[some] * wide + self.hot[1][slot[some]], weight[some] ** 2, n * wide)).reshape(n, wide).astype(np.float32)
 
     def _hot(self, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -220,8 +264,12 @@ class _Bucket:
         """``query, id, score`` of the best of these rows for each of ``n`` queries, where it reaches ``least``."""
         bounds = self._lengths(row, gram, weight, n) @ self.lengths.T
         edges = np.searchsorted(row, np.arange(n + 1))
-        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        held = self.grams[at] == gram
+        if self.found is not None:
+            at = self.found[gram]
+            held = at >= 0
+        else:
+            at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+            held = self.grams[at] == gram
         slot = self._slot(gram)
         for q in range(n):
             part = slice(edges[q], edges[q + 1])
@@ -234,27 +282,40 @@ class _Bucket:
             most = bounds[q] + walked
             if own is not None:
                 most[self.ids == own[q]] = 0
-            top = most.argmax()
-            if most[top] <= 0 or most[top] < least[q] - SLACK:
+            some = np.flatnonzero((most >= least[q] - SLACK) & (most > 0))
+            if not len(some):
                 continue
             often = slot[part] >= 0
             asked = np.zeros(len(self.hot[0]))
             asked[slot[part][often]] = weight[part][often]
-            first = np.argpartition(most, -FIRST)[-FIRST:] if len(most) > FIRST else np.arange(len(most))
-            first = first[most[first] > 0]
-            reach = max(least[q], (walked[first] + self._hot(first, asked)).max()) - SLACK
-            some = np.flatnonzero((most >= reach) & (most > 0))
+            if len(some) > FEW:
+                first = some[np.argpartition(most[some], -FIRST)[-FIRST:]]
+                some = some[most[some] >= (walked[first] + self._hot(first, asked)).max() - SLACK]
             close = walked[some] + self._hot(some, asked)
-            some = some[close >= close.max() - SLACK]  # in one order of addition, so that equal rows are equal
+            some = some[close >= max(least[q], close.max()) - SLACK]  # in one order of addition, so that equal rows are equal
+            if not len(some):
+                continue
             self.asked[mine] = w
             scores = self._exact(some)
             self.asked[mine] = 0
             yield q, self.ids[some[scores == scores.max()]].min(), scores.max()
 
 
-def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.ndarray], exclude_self: bool):
+def _best_of_bucket(folder: str, seeds: str | None, weights: _Weights, hot: tuple[np.ndarray, np.ndarray], exclude_self: bool):
+    """The best row of a bucket for each query, where it is as good as the best of the buckets in ``seeds`` or better."""
+
+    def known(place: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, owner = np.zeros(len(ids)), np.full(len(ids), -1)
+        if seeds is not None and (found := _files(f"{seeds}/{place}")) is not None:
+            one, bank, score = (found.to_table(columns=[c]).column(c).to_numpy() for c in ("query_id", "bank_id", "score"))
+            order = np.argsort(one)
+            at = order[np.minimum(np.searchsorted(one, ids, sorter=order), len(one) - 1)]
+            held = one[at] == ids
+            best[held], owner[held] = score[at[held]], bank[at[held]]
+        return best, owner
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = ids = best = owner = None
+        queries = ids = best = owner = before = named = None
         held: list[tuple[np.ndarray, ...]] = []
 
         def ask() -> None:
@@ -262,7 +323,7 @@ def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.nd
             one, row = np.concatenate([h[0] for h in held]), np.concatenate([h[1] + low for h, low in zip(held, lows, strict=False)])
             gram, weight = (np.concatenate([h[k] for h in held]) for k in (2, 3))
             held.clear()
-            bucket = _Bucket(one, row, gram, weight, hot)
+            bucket = _Bucket(one, row, gram, weight, named)
             del row, gram, weight
             if not len(bucket.grams):
                 return
@@ -279,11 +340,14 @@ def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.nd
             if not batch.num_rows:
                 continue
             if ids is None:
-                queries = _files(f"{folder}/slice={batch.column('slice')[0].as_py()}")
+                place = f"slice={batch.column('slice')[0].as_py()}"
+                queries = _files(f"{folder}/{place}")
                 if queries is None:
                     return
                 ids = queries.to_table(columns=["id"]).column("id").to_numpy()
-                best, owner = np.zeros(len(ids)), np.full(len(ids), -1)
+                named = weights.hot(*hot)
+                best, owner = known(place, ids)
+                before = best.copy(), owner.copy()
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 held.append((part.column("id").to_numpy(zero_copy_only=False), *weights(part)))
@@ -292,7 +356,7 @@ def _best_of_bucket(folder: str, weights: _Weights, hot: tuple[np.ndarray, np.nd
         if held:
             ask()
         if ids is not None:
-            some = best > 0
+            some = (best != before[0]) | (owner != before[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(owner[some]), pa.array(best[some])], names=["query_id", "bank_id", "score"])
 
     return run
@@ -333,20 +397,36 @@ def nearest(queries: DataFrame, bank: DataFrame, query_id: str, query_text: str,
     frequency = kept(counts.orderBy("gram"), "frequency")
     idf = inverse_frequency(frequency, size["n"])
     top = np.array([r[0] for r in frequency.orderBy(F.desc("df"), "gram").limit(HOT).select("gram").collect()], np.int64)
-    group = np.arange(len(top))
-    group = np.where(group < ALONE, group, ALONE + (group - ALONE) * GROUPS // max(1, HOT - ALONE))
+    group = np.arange(len(top)) * GROUPS // HOT
     hot = (np.sort(top), group[np.argsort(top)])
     seen = frequency.agg(F.count(F.lit(1)).alias("grams"), F.coalesce(F.sum("df"), F.lit(0)).alias("entries")).first()
     shared = seen["grams"] <= MOST_GRAMS
     weights = _Weights(f"{folder}/frequency" if shared else None, size["n"], least, most, by_word)
     known = lambda texts: texts if shared else _vectors(texts, idf, how)
     slices, buckets = _grid(asked.count(), size["n"], seen["entries"], 2 * spark.sparkContext.defaultParallelism)
-    known(asked).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).repartition(slices, "slice").write.partitionBy("slice").parquet(f"{folder}/slices")
+    by_slice = lambda df, one, name: df.withColumn("slice", F.pmod(F.xxhash64(one), F.lit(slices)).cast("int")).repartition(slices, "slice").write.partitionBy("slice").parquet(f"{folder}/{name}")
+    by_slice(asked.mapInArrow(_placed(weights), "id long, places array<int>, tf array<int>") if shared else known(asked), "id", "slices")
+    bucket = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets))
     rows = known(held).select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    place = (F.col("slice") * F.lit(buckets) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets))).cast("int")
-    found = rows.repartitionById(slices * buckets, place).mapInArrow(_best_of_bucket(f"{folder}/slices", weights, hot, exclude_self), "query_id long, bank_id long, score double")
-    best = F.max_by(F.struct("bank_id", "score"), F.struct("score", (-F.col("bank_id")).alias("first"))).alias("b")
-    top = found.groupBy("query_id").agg(best).select("query_id", "b.bank_id", "b.score")
+
+    def search(low: int, high: int, seeds: str | None) -> DataFrame:
+        """``query_id, bank_id, score`` of the best rows of these buckets."""
+        place = (F.col("slice") * F.lit(high - low) + bucket - F.lit(low)).cast("int")
+        some = rows.where((bucket >= low) & (bucket < high)).repartitionById(slices * (high - low), place)
+        found = some.mapInArrow(_best_of_bucket(f"{folder}/slices", seeds, weights, hot, exclude_self), "query_id long, bank_id long, score double")
+        return best_of(found)
+
+    def best_of(found: DataFrame) -> DataFrame:
+        best = F.max_by(F.struct("bank_id", "score"), F.struct("score", (-F.col("bank_id")).alias("first"))).alias("b")
+        return found.groupBy("query_id").agg(best).select("query_id", "b.bank_id", "b.score")
+
+    first = -(-spark.sparkContext.defaultParallelism // slices)
+    if buckets < 4 * first or not shared:  # beyond a shared vocabulary the bank's rows are made by joins, once
+        top = search(0, buckets, None)
+    else:
+        by_slice(search(0, first, None), "query_id", "seeds")
+        seeds = spark.read.schema("query_id long, bank_id long, score double").parquet(f"{folder}/seeds").select("query_id", "bank_id", "score")
+        top = best_of(search(first, buckets, f"{folder}/seeds").unionAll(seeds))
     default = F.lit(size["one"]).cast("long")
     if exclude_self and second is not None:
         default = F.when(F.col("query_id") == size["one"], F.lit(second).cast("long")).otherwise(default)
